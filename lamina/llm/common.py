@@ -6,6 +6,7 @@ Text rules used everywhere: white space is exactly space and \\t \\n \\v \\f \\r
 from __future__ import annotations
 
 import math
+import re
 import tempfile
 import uuid
 
@@ -16,8 +17,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACE = " \t\n\x0b\x0c\r"
 #: Largest number of (narrow) rows that an operator broadcasts; beyond it the same join shuffles.
 BROADCAST_ROWS = 200_000
-#: Rows in an Arrow batch sent to Python, so that batches of very long texts stay small.
-ARROW_ROWS = 256
+#: Bytes in an Arrow batch sent to Python, so that batches of very long texts or packed arrays stay small.
+ARROW_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,10 +42,11 @@ def save(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small unless the session asks for even smaller ones."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
+    """Bound the bytes of an Arrow batch for this session, unless it has a smaller bound already."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    known = re.fullmatch(r"(\d+)b?", spark.conf.get(key))
+    if not known or not 0 < int(known[1]) <= ARROW_BYTES:
+        spark.conf.set(key, f"{ARROW_BYTES}b")
 
 
 def fits(table: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
