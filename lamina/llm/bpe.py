@@ -8,12 +8,15 @@ repeat a lot and are kept in a bounded cache in the worker process.
 from __future__ import annotations
 
 import os
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
-#: Entries kept per process before the cache starts afresh: bounds its memory to about 100 MB.
-CACHE_ENTRIES = 500_000
+#: Entries kept per process before the cache starts afresh: bounds its memory to about 150 MB.
+CACHE_ENTRIES = 800_000
+#: Marks that end many chunks. Both vocabularies always cut between a letter or digit and these.
+TAIL = ".,;:!?"
 
 
 def vocabulary_path(name: str) -> str:
@@ -38,25 +41,54 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.words, self.entries = words, entries
+        if not words:  # bytes of each id: byte-level tokens are written with one character a byte
+            self.sizes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+            for token, i in self.tokenizer.get_vocab().items():
+                self.sizes[i] = len(token)
+        self.tail = TAIL.encode() if words else TAIL
+        self.tails = {self.tail[i : i + 1] for i in range(len(TAIL))}
+        self.ends: dict = {}  # ids of tails
         self.first: dict = {}  # ids of a text's first chunk
         self.cache: dict = {}  # ids of later chunks, with their space; None for those that need the whole text
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _ids_spaced(self, texts: list[str]) -> list[bytes]:
+        """The same for chunks that begin with a space: encoded together, and cut where the ids' bytes fill a chunk."""
+        out: list[bytes] = []
+        for at in range(0, len(texts), 1000):
+            some = texts[at : at + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = 4 * (1 + np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(x.encode()) for x in some])))
+            data, begin = ids.tobytes(), 0
+            for end in cuts.tolist():
+                out.append(data[begin:end])
+                begin = end
+        return out
 
     def _learn(self, cache: dict, pieces: set, space: str) -> None:
         new = pieces - cache.keys()
         if len(cache) + len(new) > self.entries:
             cache.clear()
             new = pieces
-        if self.words:
-            plain = list(new)
-            texts = [x.decode("utf-8", "replace") for x in plain]
-        else:
-            plain = [x for x in new if x and not x[0].isspace() and not x[-1].isspace()]
-            cache.update(dict.fromkeys(new - set(plain)))
-            texts = [space + x for x in plain]
-        cache.update(zip(plain, self._ids(texts), strict=True))
+        tailed, plain = [], set()  # chunks that are a known or new word and a tail; chunks to encode as they are
+        for x in new:
+            if x and x[-1:] in self.tails and (core := x.rstrip(self.tail)) and core[-1:].isalnum() and (not core[0:1].isspace()):
+                tailed.append((x, core))
+                if core not in cache:
+                    plain.add(core)
+            elif not self.words and (not x or x[0].isspace() or x[-1].isspace()):
+                cache[x] = None
+            else:
+                plain.add(x)
+        plain_list = list(plain)
+        cache.update(zip(plain_list, self._ids_spaced([" " + x for x in plain_list]) if space else self._ids([x.decode("utf-8", "replace") for x in plain_list] if self.words else plain_list), strict=True))
+        for x, core in tailed:
+            tail = x[len(core) :]
+            if tail not in self.ends:
+                self.ends[tail] = self._ids([tail.decode() if self.words else tail])[0]
+            cache[x] = cache[core] + self.ends[tail]
 
     def encode(self, texts: list) -> list[bytes]:
         """The ids of each text as bytes; null and empty texts have none."""

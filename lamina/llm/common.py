@@ -41,6 +41,14 @@ def save(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete the files of a saved table that nothing will read again."""
+    jvm, conf = table.sparkSession._jvm, table.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for name in table.inputFiles():
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, False)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the bytes of an Arrow batch for this session, unless it has a smaller bound already."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -76,3 +84,19 @@ def row_key(*cols: Column) -> list[Column]:
 
 def parts_for(rows: int, each: int) -> int:
     return max(1, math.ceil(rows / each))
+
+
+def trim() -> None:
+    """Give freed memory of a Python worker back to the system, where the C library can; blocks of work call it at
+    their end, as workers live on and the JVM beside them needs the room."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: arrays get pages of their own
+        libc.malloc_trim(0)

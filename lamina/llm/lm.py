@@ -20,9 +20,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lamina.llm.common import parts_for, save, small_batches
+from lamina.llm.common import discard, parts_for, save, small_batches, trim
 
-BLOCK_TOKENS, SHARD_BYTES = 2_500_000, 24 << 20
+BLOCK_TOKENS, SHARD_BYTES = 1_500_000, 24 << 20
 END, BEGIN = b" ", b"  "  # no word holds a space
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
 
@@ -57,17 +57,17 @@ class Grams:
         n_words = len(hashes)  # the last two are the end and the beginning
         starts = np.cumsum(lengths) - lengths
         where = np.arange(len(words)) - np.repeat(starts, lengths)
-        self.at, self.history, self.word = [words.astype(np.int64)], [np.zeros(n_words, np.int64)], [np.arange(n_words)]
+        self.at, self.history, self.word = [words], [np.zeros(n_words, np.int64)], [np.arange(n_words)]
         self.keys = [hashes & ~np.uint64(7)]  # the low bits say the level
         for k in range(2, order + 1):
-            before = np.append(np.int64(-1), self.at[-1][:-1])
+            before = np.append(np.int64(-1), self.at[-1][:-1].astype(np.int64))
             before[starts] = n_words - 1 if k == 2 else -1
             ok = where >= k - 2
             codes = np.where(ok, before * n_words + words, -1)
             distinct, at = np.unique(codes, return_inverse=True)
             none = int(len(distinct) > 0 and distinct[0] < 0)
             distinct = distinct[none:]
-            self.at.append(at.reshape(-1) - none)
+            self.at.append((at.reshape(-1) - none).astype(np.int32))
             self.history.append(distinct // n_words)
             self.word.append(distinct % n_words)
             self.keys.append(_mix(self.keys[-1][self.history[-1]], hashes[self.word[-1]]) & ~np.uint64(7) | np.uint64(k - 1))
@@ -130,6 +130,7 @@ def _ask(order: int, shards: int, block_tokens: int):
         def close(vocabulary: dict, held: list, ids: list, words: list) -> pa.RecordBatch:
             lengths = np.array([len(x) for x in words], np.int64)
             flat = np.concatenate(words)
+            words.clear()
             hashes = np.array([xxhash.xxh3_64_intdigest(x) for x in [*vocabulary, END, BEGIN]], np.uint64)
             n = len(vocabulary)
             flat[flat < 0] = n
@@ -159,7 +160,7 @@ def _ask(order: int, shards: int, block_tokens: int):
         for batch in batches:
             for doc, text, out in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 tokens = (text or "").encode().lower().split()
-                words.append(np.fromiter(chain(map(vocabulary.__getitem__, tokens), (-1,)), np.int64, len(tokens) + 1))
+                words.append(np.fromiter(chain(map(vocabulary.__getitem__, tokens), (-1,)), np.int32, len(tokens) + 1))
                 held.append(bool(out))
                 ids.append(doc)
                 size += len(tokens) + 1
@@ -167,8 +168,11 @@ def _ask(order: int, shards: int, block_tokens: int):
                     yield close(vocabulary, held, ids, words)
                     seq, size = seq + 1, 0
                     vocabulary, held, ids, words = fresh()
+                    trim()
         if ids:
             yield close(vocabulary, held, ids, words)
+            del vocabulary, held, ids, words
+        trim()
 
     return ask
 
@@ -195,7 +199,7 @@ def _score(docs: pd.DataFrame, answers: pd.DataFrame, order: int, shards: int, t
         parts.append(data[at + 8 : at + 8 + n])
         at += 8 + n
     ids, has, held = np.frombuffer(parts[0], "<i8"), np.frombuffer(parts[1], "u1").astype(bool), np.frombuffer(parts[2], "u1").astype(bool)
-    lengths, words, hashes = _unzip(parts[3], "i8"), _unzip(parts[4], "i8"), np.frombuffer(parts[5], "<u8")
+    lengths, words, hashes = _unzip(parts[3], "i8"), _unzip(parts[4], "i4"), np.frombuffer(parts[5], "<u8")
     grams = Grams(words, lengths, hashes, order)
     keys, by, _ = grams.requests(shards)
     every = np.empty(len(keys), np.int64)
@@ -205,6 +209,8 @@ def _score(docs: pd.DataFrame, answers: pd.DataFrame, order: int, shards: int, t
     starts = np.cumsum(lengths) - lengths
     out = {"doc_id": pd.array(np.where(has, ids, 0), "Int64"), "held_out": held, "n_tokens": lengths, "n_known": np.add.reduceat((counts[0][words] > 0).astype(np.int64), starts), "train_tokens": total, "base_score": np.add.reduceat(automaton.arc[0][words], starts), "score": np.add.reduceat(automaton.traverse(), starts)}
     out["doc_id"][~has] = pd.NA
+    del grams, automaton, every, counts, keys, by
+    trim()
     return pd.DataFrame(out)
 
 
@@ -229,6 +235,7 @@ def lm_scores(docs: DataFrame, held_out: Column, order: int = 2, strength: float
     answers = save(asked["ask"].groupBy("shard").applyInPandas(_answer, "block long, shard int, counts binary, words long"), "answers", "uncompressed")
     total = known.agg(F.sum("n")).first()[0] or 0
     vocabulary = answers.agg(F.sum("words")).first()[0] or 0
+    discard(asked["ask"])  # the answers stand for them now
     return known.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(lambda d, a: _score(d, a, order, shards, total, vocabulary, strength), SCORED)
 
 
@@ -240,5 +247,7 @@ def save_parts(df: DataFrame) -> dict[str, DataFrame]:
 
     path = f"{shared_dir(df.sparkSession)}/lamina-blocks-{uuid.uuid4().hex}"
     df.write.option("compression", "uncompressed").partitionBy("kind").parquet(path)
-    back = df.sparkSession.read.schema("block long, shard int, n long, payload binary, counts binary, kind string").parquet(path)
-    return {kind: back.where(F.col("kind") == kind).drop("kind") for kind in ("docs", "ask")}
+    columns = "block long, shard int, n long, payload binary, counts binary"
+    if not df.sparkSession.read.schema(f"{columns}, kind string").parquet(path).head(1):
+        return dict.fromkeys(("docs", "ask"), df.sparkSession.createDataFrame([], columns))
+    return {kind: df.sparkSession.read.schema(columns).parquet(f"{path}/kind={kind}") for kind in ("docs", "ask")}
