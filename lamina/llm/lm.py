@@ -70,7 +70,7 @@ class Grams:
             self.at.append((at.reshape(-1) - none).astype(np.int32))
             self.history.append(distinct // n_words)
             self.word.append(distinct % n_words)
-            self.keys.append(_mix(self.keys[-1][self.history[-1]], hashes[self.word[-1]]) & ~np.uint64(7) | np.uint64(k - 1))
+            self.keys.append(_mix(self.keys[-1][self.history[-1]], hashes[self.word[-1]]) & ~np.uint64(4095) | np.uint64(k - 1))
 
     def counts(self, level: int, trained: np.ndarray) -> np.ndarray:
         at = self.at[level][trained]
@@ -223,8 +223,8 @@ def lm_scores(docs: DataFrame, held_out: Column, order: int = 2, strength: float
     Words are runs of anything but ASCII white space, with A-Z lower-cased; an end follows them and counts as a token.
     ``score`` is the log10 probability of the text under the automaton, ``base_score`` under add-one unigrams. Null and
     empty texts are the end alone. Repeated rows count and score as often as they occur; a null id stays null and other
-    columns play no part. If nothing is held in, every count is 0. An empty table gives an empty result. N-grams are
-    known by 61-bit hashes. A single document is scored in one task's memory.
+    columns play no part. If nothing is held in, every count is 0. An empty table gives an empty result. Words
+    are known by 61-bit hashes, longer n-grams by 52-bit ones. A single document is scored in one task's memory.
     """
     small_batches(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
