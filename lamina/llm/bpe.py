@@ -13,8 +13,8 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Entries kept per process before the cache starts afresh: bounds its memory to about 150 MB.
-CACHE_ENTRIES = 800_000
+#: Entries kept per process before the cache starts afresh: bounds its memory to about 200 MB.
+CACHE_ENTRIES = 1_200_000
 #: Marks that end many chunks. Both vocabularies always cut between a letter or digit and these.
 TAIL = ".,;:!?"
 
@@ -41,7 +41,10 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.words, self.entries = words, entries
-        if not words:  # bytes of each id: byte-level tokens are written with one character a byte
+        if words:
+            self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.ends_word[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        else:  # bytes of each id: byte-level tokens are written with one character a byte
             self.sizes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
             for token, i in self.tokenizer.get_vocab().items():
                 self.sizes[i] = len(token)
@@ -67,8 +70,26 @@ class ChunkEncoder:
                 begin = end
         return out
 
+    def _ids_words(self, texts: list[str]) -> list[bytes]:
+        """The same for chunks without white space: those of letters alone, which are one pre-token each, are encoded
+        together and cut behind the ids that end a word."""
+        out: dict[str, bytes] = {}
+        letters = [x for x in texts if x.isalpha()]
+        for at in range(0, len(letters), 1000):
+            some = letters[at : at + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = 4 * (1 + np.flatnonzero(self.ends_word[ids]))
+            if len(cuts) == len(some):
+                data, begin = ids.tobytes(), 0
+                for x, end in zip(some, cuts.tolist(), strict=True):
+                    out[x] = data[begin:end]
+                    begin = end
+        rest = [x for x in texts if x not in out]
+        out.update(zip(rest, self._ids(rest), strict=True))
+        return [out[x] for x in texts]
+
     def _learn(self, cache: dict, pieces: set, space: str) -> None:
-        new = pieces - cache.keys()
+        new = {x for x in pieces if x not in cache}
         if len(cache) + len(new) > self.entries:
             cache.clear()
             new = pieces
@@ -83,7 +104,7 @@ class ChunkEncoder:
             else:
                 plain.add(x)
         plain_list = list(plain)
-        cache.update(zip(plain_list, self._ids_spaced([" " + x for x in plain_list]) if space else self._ids([x.decode("utf-8", "replace") for x in plain_list] if self.words else plain_list), strict=True))
+        cache.update(zip(plain_list, self._ids_words([x.decode("utf-8", "replace") for x in plain_list]) if self.words else self._ids_spaced([" " + x for x in plain_list]) if space else self._ids(plain_list), strict=True))
         for x, core in tailed:
             tail = x[len(core) :]
             if tail not in self.ends:
@@ -91,7 +112,11 @@ class ChunkEncoder:
             cache[x] = cache[core] + self.ends[tail]
 
     def encode(self, texts: list) -> list[bytes]:
-        """The ids of each text as bytes; null and empty texts have none."""
+        """The ids of each text as bytes; null and empty texts have none. A few texts at a time, to stay in the processor's
+        caches."""
+        return [x for at in range(0, len(texts), 256) for x in self._encode(texts[at : at + 256])]
+
+    def _encode(self, texts: list) -> list[bytes]:
         if self.words:
             split = [(t or "").encode("utf-8", "replace").lower().split() for t in texts]
             self._learn(self.cache, set().union(*split), "")
@@ -99,11 +124,13 @@ class ChunkEncoder:
             return [b"".join(map(get, pieces)) for pieces in split]
         split = [(t or "").split(" ") for t in texts]
         self._learn(self.first, {x[0] for x in split}, "")
-        self._learn(self.cache, set().union(*(x[1:] for x in split)), " ")
+        self._learn(self.cache, set().union(*split), " ")
         get, out = self.cache.__getitem__, []
         for text, pieces in zip(texts, split, strict=True):
+            later = iter(pieces)
+            first = self.first[next(later)]
             try:
-                out.append(self.first[pieces[0]] + b"".join(map(get, pieces[1:])) if text else b"")
+                out.append(first + b"".join(map(get, later)) if text else b"")
             except TypeError:  # a space beside other white space
                 out.append(self._ids([text])[0])
         return out

@@ -25,37 +25,48 @@ from lamina.llm.bpe import encoder
 from lamina.llm.common import checked, save, small_batches
 
 MAGIC = b"RPG1"
-SHARD_TOKENS, PASSES, RULES_A_PASS, LEAST = 2_000_000, 6, 2500, 16
-_HASH_BITS = 20
+SHARD_TOKENS, PASSES, RULES_A_PASS, LEAST = 2_000_000, 4, 4000, 16
+_HASH_BITS, _SPREAD = 18, (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77))
 
 
 def _pass(symbols: np.ndarray, last: np.ndarray, next_symbol: int, most: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One pass: symbols and end marks after it, and the pairs replaced by next_symbol, next_symbol + 1, ..."""
-    none = symbols, last, np.zeros(0, np.uint64)
+    none = symbols, last, np.zeros((0, 2), np.uint32)
     if len(symbols) < 2 or most < 1:
         return none
-    codes = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:]
-    slot = ((codes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _HASH_BITS)).astype(np.int32)
-    counts = np.bincount(slot[~last[:-1]], minlength=1 << _HASH_BITS)
+    a, b = symbols[:-1], symbols[1:]
+    slot = ((a * _SPREAD[0] + b * _SPREAD[1]) >> np.uint32(32 - _HASH_BITS)).astype(np.int32)
+    slot[last[:-1]] = 1 << _HASH_BITS  # a pair across documents
+    counts = np.bincount(slot, minlength=(1 << _HASH_BITS) + 1)
+    counts[-1] = 0
     floor = max(least, int(np.partition(counts, -most)[-most]))
-    at = np.flatnonzero((counts[slot] >= floor) & ~last[:-1])
-    pairs, n = np.unique(codes[at], return_counts=True)
-    pairs = np.sort(pairs[np.argsort(-n, kind="stable")[:most]][np.sort(-n, kind="stable")[:most] <= -least])
-    if not len(pairs):
+    at = np.flatnonzero(counts[slot] >= floor)
+    if not len(at):
         return none
-    found = np.searchsorted(pairs, codes[at])
-    hit = (found < len(pairs)) & (pairs[np.minimum(found, len(pairs) - 1)] == codes[at])
-    at, found = at[hit], found[hit]
+    # each slot stands for one of the pairs in it; only that pair is replaced in this pass
+    near, stands = slot[at], np.zeros((1 << _HASH_BITS, 2), np.uint32)
+    stands[near, 0], stands[near, 1] = a[at], b[at]
+    hit = (stands[near, 0] == a[at]) & (stands[near, 1] == b[at])
+    at, near = at[hit], near[hit]
     # overlapping matches form runs of consecutive positions; every other one, from the left, is taken
     begins = np.flatnonzero(np.diff(at, prepend=-2) != 1)
     place = np.arange(len(at)) - np.repeat(begins, np.diff(np.append(begins, len(at))))
-    at, found = at[place % 2 == 0], found[place % 2 == 0]
+    at, near = at[place % 2 == 0], near[place % 2 == 0]
+    used = np.bincount(near, minlength=1 << _HASH_BITS)
+    chosen = np.flatnonzero(used >= max(2, least // 2))
+    chosen = np.sort(chosen[np.argsort(-used[chosen], kind="stable")[:most]])
+    if not len(chosen):
+        return none
+    number = np.full(1 << _HASH_BITS, -1, np.int64)
+    number[chosen] = next_symbol + np.arange(len(chosen))
+    new = number[near]
+    at, new = at[new >= 0], new[new >= 0]
     symbols, last = symbols.copy(), last.copy()
-    symbols[at] = next_symbol + found
+    symbols[at] = new
     last[at] |= last[at + 1]
     keep = np.ones(len(symbols), bool)
     keep[at + 1] = False
-    return symbols[keep], last[keep], pairs
+    return symbols[keep], last[keep], stands[chosen]
 
 
 def compress(doc_ids: list, docs: list[bytes], base: int, passes: int = PASSES, rules_a_pass: int = RULES_A_PASS, least: int = LEAST) -> bytes:
@@ -70,8 +81,8 @@ def compress(doc_ids: list, docs: list[bytes], base: int, passes: int = PASSES,
         symbols, last, pairs = _pass(symbols, last, top, min(rules_a_pass, limit - top), least)
         if not len(pairs):
             break
-        left.append((pairs >> np.uint64(32)).astype("<u4"))
-        right.append((pairs & np.uint64(0xFFFFFFFF)).astype("<u4"))
+        left.append(pairs[:, 0].astype("<u4"))
+        right.append(pairs[:, 1].astype("<u4"))
     lengths: list[np.ndarray] = []
     known = np.ones(base, np.uint64)
     for a, b in zip(left, right, strict=True):
