@@ -13,8 +13,8 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Entries kept per process before the cache starts afresh: bounds its memory to about 200 MB.
-CACHE_ENTRIES = 1_200_000
+#: Entries kept per process before the cache starts afresh: bounds its memory to about 350 MB.
+CACHE_ENTRIES = 2_000_000
 #: Marks that end many chunks. Both vocabularies always cut between a letter or digit and these.
 TAIL = ".,;:!?"
 
@@ -52,7 +52,7 @@ class ChunkEncoder:
         self.tails = {self.tail[i : i + 1] for i in range(len(TAIL))}
         self.ends: dict = {}  # ids of tails
         self.first: dict = {}  # ids of a text's first chunk
-        self.cache: dict = {}  # ids of later chunks, with their space; None for those that need the whole text
+        self.cache: dict = {}  # ids of later chunks, with their space; False for those that need the whole text
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -100,7 +100,7 @@ class ChunkEncoder:
                 if core not in cache:
                     plain.add(core)
             elif not self.words and (not x or x[0].isspace() or x[-1].isspace()):
-                cache[x] = None
+                cache[x] = False
             else:
                 plain.add(x)
         plain_list = list(plain)
@@ -116,23 +116,28 @@ class ChunkEncoder:
         caches."""
         return [x for at in range(0, len(texts), 256) for x in self._encode(texts[at : at + 256])]
 
+    def _found(self, split: list[list]) -> list[list]:
+        """The cached ids of every chunk, after learning those that are missing."""
+        found = [list(map(self.cache.get, pieces)) for pieces in split]
+        gaps = [[i for i, ids in enumerate(row) if ids is None] if None in row else () for row in found]
+        self._learn(self.cache, {pieces[i] for pieces, gap in zip(split, gaps, strict=True) for i in gap}, "" if self.words else " ")
+        for pieces, row, gap in zip(split, found, gaps, strict=True):
+            for i in gap:
+                row[i] = self.cache[pieces[i]]
+        return found
+
     def _encode(self, texts: list) -> list[bytes]:
         if self.words:
-            split = [(t or "").encode("utf-8", "replace").lower().split() for t in texts]
-            self._learn(self.cache, set().union(*split), "")
-            get = self.cache.__getitem__
-            return [b"".join(map(get, pieces)) for pieces in split]
+            return [b"".join(row) for row in self._found([(t or "").encode("utf-8", "replace").lower().split() for t in texts])]
         split = [(t or "").split(" ") for t in texts]
         self._learn(self.first, {x[0] for x in split}, "")
-        self._learn(self.cache, set().union(*split), " ")
-        get, out = self.cache.__getitem__, []
-        for text, pieces in zip(texts, split, strict=True):
-            later = iter(pieces)
-            first = self.first[next(later)]
-            try:
-                out.append(first + b"".join(map(get, later)) if text else b"")
-            except TypeError:  # a space beside other white space
-                out.append(self._ids([text])[0])
+        out = []
+        for text, pieces, row in zip(texts, split, self._found(split), strict=True):
+            row[0] = self.first[pieces[0]]
+            if False in row:  # a space beside other white space
+                out.append(self._ids([text])[0] if text else b"")
+            else:
+                out.append(b"".join(row))
         return out
 
 
