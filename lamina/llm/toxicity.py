@@ -98,7 +98,7 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dim: int
     texts = np.zeros(1 << BUCKET_BITS, np.int32)
     for buckets, _ in bags:
         texts[buckets] += 1
-    bags = [(b[keep], w[keep]) for b, w in bags for keep in (texts[b] >= min(min_texts, len(labels) // 8 + 1),)]
+    bags = [(b[keep], w[keep].astype(np.float32)) for b, w in bags for keep in (texts[b] >= min(min_texts, len(labels) // 8 + 1),)]
     rng = np.random.default_rng(seed)
     table = rng.normal(0, 0.02, (1 << BUCKET_BITS, dim)).astype(np.float32)
     out, bias = rng.normal(0, 0.5, (dim, 2)), np.log(np.bincount(labels, minlength=2) / len(labels))
@@ -132,7 +132,7 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dim: int
     return ToxicityModel((scale * (table @ (out[:, 1] - out[:, 0]))).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, positives: int = 2500, negatives: int = 4500, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, learn: Column, positives: int = 1500, negatives: int = 3000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
     """Fit on a bounded sample: of the labelled ids for which ``learn`` (a column of the id) holds, the ``positives``
     and ``negatives`` first by a hash of the id, with whole texts. Ids without a label or with a null one are left
     out; an id with several labels has the largest. Only the sample's bags reach the driver."""
@@ -148,7 +148,11 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, positives: int = 25
 
     rows = docs.join(F.broadcast(sample), docs[id_col] == sample["__id"]).select(F.xxhash64("__id").alias("id"), text_col, "__y").mapInArrow(bags, "id long, y int, buckets binary, weights binary").toPandas()
     rows = rows.sort_values(["id", "y", "buckets"], kind="stable")
-    model = fit([(np.frombuffer(b, np.int32), np.frombuffer(w, np.float16).astype(np.float32)) for b, w in zip(rows["buckets"], rows["weights"], strict=True)], rows["y"].to_numpy())
+    found = [(np.frombuffer(b, np.int32), np.frombuffer(w, np.float16)) for b, w in zip(rows["buckets"], rows["weights"], strict=True)]
+    labels_of = rows["y"].to_numpy()
+    del rows
+    model = fit(found, labels_of)
+    del found
     trim()
     return model
 
