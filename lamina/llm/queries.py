@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import linededup, lm, packing, repair, topk, toxicity
+from lamina.llm import linededup, lm, neardup, packing, repair, topk, toxicity
 from lamina.llm.bpe import vocabulary_path
 
 
@@ -47,6 +47,10 @@ def op8_repair_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.read_documents(shards)
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op3_line_dedup": op3_line_dedup,
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op8_repair_binary": op8_repair_binary,
+    "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
