@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import linededup, lm, neardup, packing, repair, topk, toxicity
+from lamina.llm import decontaminate, linededup, lm, neardup, packing, repair, topk, toxicity
 from lamina.llm.bpe import vocabulary_path
 
 
@@ -20,6 +20,10 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.lm_scores(table(spark, sf_dir, "documents"), held_out, order=2)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_chars=1)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -53,6 +57,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
+    "op2_decontamination": op2_decontamination,
     "op3_line_dedup": op3_line_dedup,
     "op4_exact_top_k": op4_exact_top_k,
     "op5_toxicity": op5_toxicity,
@@ -64,6 +69,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL: dict[str, str] = {
+    "op2_decontamination": r"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\pL\pN]+'), lambda x: x <> '') AS w FROM documents),
+b AS (
+  SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\pL\pN]+'), lambda x: x <> '') AS w FROM benchmark WHERE item_id IS NOT NULL),
+dw AS (SELECT doc_id, w[i : i + 11] AS v FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d)),
+bw AS (SELECT item_id, w[i : i + 11] AS v FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM b)),
+masks AS (SELECT unnest([[1,3,5,7,9,11], [2,4,6,8,10,12], [1,2,5,6,9,10], [3,4,7,8,11,12]]) AS m),
+ds AS (SELECT doc_id, v, m, array_to_string(list_transform(m, lambda i: v[i]), ' ') AS seed FROM dw, masks),
+bs AS (SELECT item_id, v, m, array_to_string(list_transform(m, lambda i: v[i]), ' ') AS seed FROM bw, masks),
+hits AS (
+  SELECT doc_id, item_id, len(list_filter(range(1, 13), lambda i: ds.v[i] = bs.v[i])) AS equal_words FROM ds JOIN bs USING (m, seed))
+SELECT doc_id, count(DISTINCT item_id) AS n_items, min(item_id) AS first_item, max(equal_words)::INT AS best_words
+FROM hits WHERE equal_words >= 10 GROUP BY doc_id""",
     "op3_line_dedup": r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
