@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import decontaminate, linededup, lm, neardup, packing, passages, repair, topk, toxicity
+from lamina.llm import decontaminate, editcount, linededup, lm, neardup, packing, passages, repair, topk, toxicity
 from lamina.llm.bpe import vocabulary_path
 
 
@@ -46,6 +46,12 @@ def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5, scale=256.0)
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts before and after masking mail addresses and runs of five or more digits."""
+    secrets = r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+|[0-9]{5,}"
+    return editcount.edited_counts(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"), redact=(secrets, "[masked]"))
+
+
 def op8_repair_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = repair.write_shards(table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"), vocabulary=49_408, end_id=1)
     return repair.read_documents(shards)
@@ -66,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_exact_top_k": op4_exact_top_k,
     "op5_toxicity": op5_toxicity,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_token_counts": op7_token_counts,
     "op8_repair_binary": op8_repair_binary,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
