@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.llm.bpe import encoder
-from lamina.llm.common import parts_for, save, small_batches
+from lamina.llm.common import parts_for, save, small_batches, trim
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = f"{PIECES}, part long, bin int, offset long, open boolean"
@@ -81,6 +81,7 @@ def encode_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col
                     at, piece = at + take, piece + 1
             cols = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        trim()
 
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(pieces, PIECES)
 

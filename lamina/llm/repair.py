@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lamina.llm.bpe import encoder
-from lamina.llm.common import checked, save, small_batches
+from lamina.llm.common import checked, save, small_batches, trim
 
 MAGIC = b"RPG1"
 SHARD_TOKENS, PASSES, RULES_A_PASS, LEAST = 2_000_000, 4, 4000, 16
@@ -180,6 +180,8 @@ def write_shards(docs: DataFrame, path: str, vocabulary: int, end_id: int, words
                     seq, ids, held, size = seq + 1, [], [], 0
         if ids:
             yield shard()
+        ids, held = [], []
+        trim()
 
     ordered = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).repartitionByRange("id").sortWithinPartitions("id", "text")
     return save(ordered.mapInArrow(encode, "part long, seq long, n_docs long, n_tokens long, payload binary"), "shards", "uncompressed")
@@ -200,6 +202,7 @@ def read_documents(shards: DataFrame) -> DataFrame:
                     out.append((doc, at, len(ids), zlib.crc32(np.ascontiguousarray(ids))))
                     at += len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+        trim()
 
     small_batches(shards.sparkSession)  # a row is a shard of megabytes
     return shards.join(checked(starts), ["part", "seq"]).select("begin", "payload").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
