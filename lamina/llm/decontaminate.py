@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lamina.llm.common import fits, row_key, save
 
-SPAN = 12
+SPAN, PIECE = 12, 32
 MASKS = ((0, 2, 4, 6, 8, 10), (1, 3, 5, 7, 9, 11), (0, 1, 4, 5, 8, 9), (2, 3, 6, 7, 10, 11))
 #: Seeds (narrow rows with one window of twelve hashes) up to which the benchmark side is broadcast: below 150 MB.
 SEED_ROWS = 1_000_000
@@ -28,19 +28,27 @@ def word_array(text: Column) -> Column:
 
 
 def _seeds(df: DataFrame, keep: list[str]) -> DataFrame:
-    """A row for each position and mask of column h: the kept columns, h, at, seed."""
-    places = df.where(F.size("h") >= SPAN).select(*keep, "h", F.explode(F.sequence(F.lit(0), F.size("h") - SPAN)).alias("at"))
-    masked = F.array(*[F.xxhash64(F.lit(m), *[F.col("h")[F.col("at") + i] for i in mask]) for m, mask in enumerate(MASKS)])
-    return places.select(*keep, "h", "at", F.explode(masked).alias("seed"))
+    """A row for each position and mask of column h: the kept columns, c and at (the words there), seed.
+
+    Texts are first cut into short overlapping pieces, so that no row of a position drags a long array along. The masks
+    are a formula of the mask's number, which keeps the generated code small enough to be compiled.
+    """
+    piece = F.explode(F.transform(F.sequence(F.lit(0), F.size("h") - SPAN, F.lit(PIECE)), lambda i: F.slice("h", i + 1, PIECE + SPAN - 1)))
+    pieces = df.where(F.size("h") >= SPAN).select(*keep, piece.alias("c"))
+    rows = pieces.select(*keep, "c", F.explode(F.sequence(F.lit(0), len(MASKS) * (F.size("c") - SPAN + 1) - 1)).alias("q"))
+    mask, at = F.col("q").bitwiseAND(3), F.shiftright("q", 2)
+    kept = [F.when(mask < 2, 2 * j + mask).otherwise(4 * (j // 2) + j % 2 - 4 + 2 * mask) for j in range(len(MASKS[0]))]
+    seed = F.xxhash64(mask, *[F.col("c")[at + i] for i in kept])
+    return rows.select(*keep, "c", at.alias("at"), seed.alias("seed"))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, keys: dict[str, Column], allowed: int = 2, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """Verified windows: the ``keys`` of the document, item_id and the number of equal words (of SPAN), all distinct."""
     items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item_id"), word_array(F.col(text_col)).alias("h"))
-    known = save(_seeds(items, ["item_id"]).select("item_id", "seed", F.slice("h", F.col("at") + 1, SPAN).alias("item_words")).distinct(), "seeds")
+    known = save(_seeds(items, ["item_id"]).select("item_id", "seed", F.slice("c", F.col("at") + 1, SPAN).alias("item_words")).distinct(), "seeds")
     known = F.broadcast(known) if fits(known, SEED_ROWS) else known.hint("merge")
     rows = docs.select(*[c.alias(k) for k, c in keys.items()], word_array(F.col(text_col)).alias("h"))
-    hits = _seeds(rows, list(keys)).join(known, "seed").select(*keys, "item_id", "item_words", F.slice("h", F.col("at") + 1, SPAN).alias("words"))
+    hits = _seeds(rows, list(keys)).join(known, "seed").select(*keys, "item_id", "item_words", F.slice("c", F.col("at") + 1, SPAN).alias("words"))
     same = F.aggregate(F.zip_with("words", "item_words", lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, x: n + x)
     return hits.select(*keys, "item_id", same.alias("equal_words")).where(F.col("equal_words") >= SPAN - allowed).distinct()
 
