@@ -129,11 +129,13 @@ class ChunkEncoder:
     def _encode(self, texts: list) -> list[bytes]:
         if self.words:
             return [b"".join(row) for row in self._found([(t or "").encode("utf-8", "replace").lower().split() for t in texts])]
-        split = [(t or "").split(" ") for t in texts]
-        self._learn(self.first, {x[0] for x in split}, "")
+        led = [bool(t) and len(t) > 1 and t[0] == " " and not t[1].isspace() for t in texts]  # begins like a later chunk
+        split = [(t or "")[lead:].split(" ") for t, lead in zip(texts, led, strict=True)]
+        self._learn(self.first, {x[0] for x, lead in zip(split, led, strict=True) if not lead}, "")
         out = []
-        for text, pieces, row in zip(texts, split, self._found(split), strict=True):
-            row[0] = self.first[pieces[0]]
+        for text, pieces, row, lead in zip(texts, split, self._found(split), led, strict=True):
+            if not lead:
+                row[0] = self.first[pieces[0]]
             if False in row:  # a space beside other white space
                 out.append(self._ids([text])[0] if text else b"")
             else:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +36,18 @@ def cut_points(text: str, leaf_chars: int = LEAF_CHARS) -> list[int]:
     return out
 
 
+def leaves_of(text: str, leaf_chars: int = LEAF_CHARS) -> list[str]:
+    cuts = cut_points(text, leaf_chars)
+    return [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True)]
+
+
 class CountTree:
     """Lengths and token counts of leaves, with sums above them: node i has children 2i and 2i + 1, the root is 1."""
 
-    def __init__(self, text: str, path: str, leaf_chars: int = LEAF_CHARS) -> None:
+    def __init__(self, text: str, path: str, leaf_chars: int = LEAF_CHARS, counts: list[int] | None = None) -> None:
+        """``counts`` are the leaves' tokens, where they are known already."""
         self.path, self.leaf_chars, self.encoded = path, leaf_chars, 0
-        cuts = cut_points(text, leaf_chars)
-        self._grow([text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True)], None)
+        self._grow(leaves_of(text, leaf_chars), counts)
 
     def _count(self, leaves: list[str]) -> list[int]:
         self.encoded += sum(map(len, leaves))
@@ -94,8 +100,7 @@ class CountTree:
         while hi < len(self.leaves) and not self._border(region, self.leaves[hi]):
             region += self.leaves[hi]
             hi += 1
-        cuts = cut_points(region, self.leaf_chars)
-        fresh = [region[a:b] for a, b in zip(cuts, [*cuts[1:], len(region)], strict=True)]
+        fresh = leaves_of(region, self.leaf_chars)
         counts = self._count(fresh)
         if len(fresh) == hi - lo:
             for i, (leaf, n) in enumerate(zip(fresh, counts, strict=True), lo):
@@ -129,10 +134,13 @@ def edited_counts(docs: DataFrame, path: str, edits: Column | None = None, redac
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, text, changes in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            docs_, texts, edits_ = (batch.column(i).to_pylist() for i in range(3))
+            split = [leaves_of(t or "", leaf_chars) for t in texts]
+            counts = iter([len(x) // 4 for x in encoder(path).encode([leaf for leaves in split for leaf in leaves])])
+            for doc, text, changes, leaves in zip(docs_, texts, edits_, split, strict=True):
                 if find:
                     changes = [{"start": m.start(), "stop": m.end(), "new": redact[1]} for m in find.finditer(text or "")]
-                tree = CountTree(text or "", path, leaf_chars)
+                tree = CountTree(text or "", path, leaf_chars, list(islice(counts, len(leaves))))
                 before, built = tree.tokens, tree.encoded
                 for e in reversed(changes or []):  # from the end, so that places stay right
                     tree.edit(e["start"], e["stop"], e["new"] or "")
