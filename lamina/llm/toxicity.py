@@ -89,7 +89,7 @@ class ToxicityModel:
         return np.full(len(texts), self.constant) if self.constant is not None else 1 / (1 + np.exp(-np.clip(means + self.bias, -500, 500)))
 
 
-def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dim: int = 4, epochs: int = 12, rate: float = 0.2, scale: float = 300.0, decay: float = 1e-4, min_texts: int = 3, seed: int = 7) -> ToxicityModel:
+def fit(bags: list, labels: np.ndarray, dim: int = 4, epochs: int = 12, rate: float = 0.2, scale: float = 300.0, decay: float = 1e-4, min_texts: int = 3, seed: int = 7) -> ToxicityModel:
     """Train embeddings and softmax together by minibatches with per-bucket Adagrad steps. ``scale`` multiplies the mean,
     so that one toxic word among hundreds shows; buckets of fewer than ``min_texts`` texts are not learnt."""
     labels = np.asarray(labels, np.int64)
@@ -98,7 +98,10 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dim: int
     texts = np.zeros(1 << BUCKET_BITS, np.int32)
     for buckets, _ in bags:
         texts[buckets] += 1
-    bags = [(b[keep], w[keep].astype(np.float32)) for b, w in bags for keep in (texts[b] >= min(min_texts, len(labels) // 8 + 1),)]
+    least = min(min_texts, len(labels) // 8 + 1)
+    for i, (b, w) in enumerate(bags):  # in place: the driver holds one copy
+        keep = texts[b] >= least
+        bags[i] = (b[keep], w[keep].astype(np.float32))
     rng = np.random.default_rng(seed)
     table = rng.normal(0, 0.02, (1 << BUCKET_BITS, dim)).astype(np.float32)
     out, bias = rng.normal(0, 0.5, (dim, 2)), np.log(np.bincount(labels, minlength=2) / len(labels))
@@ -128,7 +131,7 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dim: int
             out -= step * grad_out / np.sqrt(grown_out)
             grown_bias += grad_bias**2
             bias = bias - step * grad_bias / np.sqrt(grown_bias)
-    table[texts < min(min_texts, len(labels) // 8 + 1)] = 0
+    table[texts < least] = 0
     return ToxicityModel((scale * (table @ (out[:, 1] - out[:, 0]))).astype(np.float32), float(bias[1] - bias[0]))
 
 
@@ -146,13 +149,16 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, positives: int = 15
             found = [bag(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x[0].tobytes() for x in found], pa.binary()), pa.array([x[1].astype(np.float16).tobytes() for x in found], pa.binary())], ["id", "y", "buckets", "weights"])
 
-    rows = docs.join(F.broadcast(sample), docs[id_col] == sample["__id"]).select(F.xxhash64("__id").alias("id"), text_col, "__y").mapInArrow(bags, "id long, y int, buckets binary, weights binary").toPandas()
-    rows = rows.sort_values(["id", "y", "buckets"], kind="stable")
-    found = [(np.frombuffer(b, np.int32), np.frombuffer(w, np.float16)) for b, w in zip(rows["buckets"], rows["weights"], strict=True)]
-    labels_of = rows["y"].to_numpy()
-    del rows
-    model = fit(found, labels_of)
+    rows = docs.join(F.broadcast(sample), docs[id_col] == sample["__id"]).select(F.xxhash64("__id").alias("id"), text_col, "__y").mapInArrow(bags, "id long, y int, buckets binary, weights binary")
+    found = []
+    for r in save(rows, "bags").toLocalIterator():  # a partition at a time
+        found.append((r["id"], r["y"], np.frombuffer(bytes(r["buckets"]), np.int32), np.frombuffer(bytes(r["weights"]), np.float16)))
+    found.sort(key=lambda x: (x[0], x[1], x[2].tobytes()[:64]))
+    known_labels = np.array([x[1] for x in found], np.int64)
+    sample_bags = [x[2:] for x in found]
     del found
+    model = fit(sample_bags, known_labels)
+    del sample_bags
     trim()
     return model
 
