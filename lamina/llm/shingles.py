@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Word hashes kept per process before the cache starts afresh.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_000_000
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
 _known: dict[bytes, int] = {}
 
@@ -21,13 +21,15 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def word_hashes(text: str | None) -> np.ndarray:
     """A 64-bit hash of each word; A-Z lower-cased, words between ASCII white space."""
     words = (text or "").encode("utf-8", "replace").lower().split()
-    new = [w for w in set(words) if w not in _known]
-    if len(_known) + len(new) > CACHE_WORDS:
-        _known.clear()
-        new = set(words)
-    for w in new:
-        _known[w] = xxhash.xxh3_64_intdigest(w)
-    return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
+    found = list(map(_known.get, words))
+    if None in found:
+        if len(_known) > CACHE_WORDS:
+            _known.clear()
+        for i, h in enumerate(found):
+            if h is None:
+                w = words[i]
+                found[i] = _known[w] = xxhash.xxh3_64_intdigest(w)
+    return np.fromiter(found, np.uint64, len(found))
 
 
 def rolling(hashes: np.ndarray, size: int) -> np.ndarray:
