@@ -1 +1,7 @@
 """Lamina: distributed mixed-effects analytics on PySpark DataFrames."""
+
+import os
+
+# The driver's matrices are small: threads of a BLAS cost more than they give, and compete with Spark's own.
+for _name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS"):
+    os.environ.setdefault(_name, "1")

@@ -54,8 +54,9 @@ class Formula:
     @property
     def variables(self) -> list[str]:
         """Every variable once, in order: what the scan has to read."""
-        terms = [*self.fixed, *[t for r in self.random for t in r.terms]]
-        names = [self.response, *([self.trials] if self.trials else []), *[f.name for t in terms for f in t], *[g for r in self.random for g in r.grouping]]
+        names = [self.response, *([self.trials] if self.trials else []), *[f.name for t in self.fixed for f in t]]
+        for r in self.random:
+            names += [*[f.name for t in r.terms for f in t], *r.grouping]
         return list(dict.fromkeys(names))
 
     def fixed_str(self) -> str:
