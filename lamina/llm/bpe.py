@@ -13,10 +13,10 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Entries kept per process before the cache starts afresh: bounds its memory to about 350 MB.
-CACHE_ENTRIES = 1_900_000
+#: Entries kept per process before the cache starts afresh: bounds its memory to about 200 MB.
+CACHE_ENTRIES = 1_000_000
 #: Marks that end many chunks. Both vocabularies always cut between a letter or digit and these.
-TAIL = ".,;:!?"
+TAIL = ".,;:!?*%&$#)]}>\"|"
 
 
 def vocabulary_path(name: str) -> str:
@@ -93,6 +93,8 @@ class ChunkEncoder:
         if len(cache) + len(new) > self.entries:
             cache.clear()
             new = pieces
+        if len(self.ends) > 10_000:
+            self.ends.clear()
         tailed, plain = [], set()  # chunks that are a known or new word and a tail; chunks to encode as they are
         for x in new:
             if x and x[-1:] in self.tails and (core := x.rstrip(self.tail)) and core[-1:].isalnum() and (not core[0:1].isspace()):
@@ -143,7 +145,7 @@ class ChunkEncoder:
         return out
 
 
-@lru_cache(maxsize=4)
-def encoder(path: str, words: bool = False) -> ChunkEncoder:
+@lru_cache(maxsize=1)
+def encoder(path: str, words: bool = False, entries: int = CACHE_ENTRIES) -> ChunkEncoder:
     """One encoder, and so one cache, per worker process."""
-    return ChunkEncoder(path, words)
+    return ChunkEncoder(path, words, entries)

@@ -6,7 +6,6 @@ Text rules used everywhere: white space is exactly space and \\t \\n \\v \\f \\r
 from __future__ import annotations
 
 import math
-import re
 import tempfile
 import uuid
 
@@ -17,8 +16,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACE = " \t\n\x0b\x0c\r"
 #: Largest number of (narrow) rows that an operator broadcasts; beyond it the same join shuffles.
 BROADCAST_ROWS = 200_000
-#: Bytes in an Arrow batch sent to Python, so that batches of very long texts or packed arrays stay small.
-ARROW_BYTES = 8 << 20
+#: Rows in an Arrow batch sent to Python: long texts and packed arrays (up to a few MB a row) stay within some 100 MB.
+ARROW_ROWS = 100
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,11 +49,10 @@ def discard(table: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the bytes of an Arrow batch for this session, unless it has a smaller bound already."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    known = re.fullmatch(r"(\d+)b?", spark.conf.get(key))
-    if not known or not 0 < int(known[1]) <= ARROW_BYTES:
-        spark.conf.set(key, f"{ARROW_BYTES}b")
+    """Bound the rows of an Arrow batch for this session, unless it has a smaller bound already."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
 
 
 def fits(table: DataFrame, rows: int = BROADCAST_ROWS) -> bool:

@@ -114,12 +114,12 @@ class BackoffAutomaton:
         waiting = np.arange(len(added))
         for k in range(len(self.counts) - 1, -1, -1):
             gram = self.grams.at[k][waiting]
-            here = gram >= 0
-            arc = here & ((self.counts[k][gram] > 0) | (k == 0))
+            here = np.flatnonzero(gram >= 0)
+            found = (self.counts[k][gram[here]] > 0) | (k == 0)
+            arc, failed = here[found], here[~found]
             added[waiting[arc]] += self.arc[k][gram[arc]]
-            failed = here & ~arc
             added[waiting[failed]] += self.fail[k][gram[failed]]
-            waiting = waiting[~arc]
+            waiting = np.delete(waiting, arc)
         return added
 
 

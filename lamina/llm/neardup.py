@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from lamina.llm.common import checked, save, small_batches, trim
 from lamina.llm.components import components
-from lamina.llm.shingles import mix, shingle_set
+from lamina.llm.shingles import forget, mix, shingle_set
 
 KEEP, WHOLE, RUN = 64, 80, 3
 BLOCK = 256
@@ -126,6 +126,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         for batch in batches:
             sets = [shingle_set(t, shingle) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None for s in sets], pa.int64()), pa.array([sketch(s).tobytes() for s in sets], pa.binary())], ["doc_id", "n", "cls", "sketch"])
+        forget()
         trim()
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -157,6 +158,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         for batch in batches:
             found = [(c, shingle_set(t, shingle).tobytes()) for c, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.int64()), pa.array([s if xxhash.xxh3_64_intdigest(s) - (1 << 63) == c else None for c, s in found], pa.binary())], ["cls", "data"])
+        forget()
         trim()
 
     read = texts.join(checked(needed), texts["doc_id"] == needed["doc"]).select("cls", "text")

@@ -26,6 +26,8 @@ from lamina.llm.common import checked, save, small_batches, trim
 
 MAGIC = b"RPG1"
 SHARD_TOKENS, PASSES, RULES_A_PASS, LEAST = 2_000_000, 4, 4000, 16
+#: Chunks that encoding remembers, about 250 MB.
+REMEMBERED = 1_400_000
 _HASH_BITS, _SPREAD = 18, (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77))
 
 
@@ -165,7 +167,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: int, end_id: int, words
     end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, part, seq, ids, held, size = encoder(path, words), TaskContext.get().partitionId(), 0, [], [], 0
+        code, part, seq, ids, held, size = encoder(path, words, REMEMBERED), TaskContext.get().partitionId(), 0, [], [], 0
 
         def shard() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([seq]), pa.array([len(ids)]), pa.array([size]), pa.array([compress(ids, held, vocabulary)])], ["part", "seq", "n_docs", "n_tokens", "payload"])

@@ -32,6 +32,11 @@ def word_hashes(text: str | None) -> np.ndarray:
     return np.fromiter(found, np.uint64, len(found))
 
 
+def forget() -> None:
+    """Drop the kept word hashes, at the end of a task."""
+    _known.clear()
+
+
 def rolling(hashes: np.ndarray, size: int) -> np.ndarray:
     """The hash of every run of ``size`` words; of all words as one run, if there are fewer; of none without words."""
     take = min(size, len(hashes))

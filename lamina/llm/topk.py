@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lamina.llm.common import parts_for, save, small_batches
 
-SHARD_ROWS, BLOCK_ROWS, PILOT_ROWS, LEAF_ROWS = 16_384, 1024, 4096, 128
+SHARD_ROWS, BLOCK_ROWS, PILOT_ROWS, LEAF_ROWS = 4096, 1024, 4096, 128
 FOUND = "query_id long, vec_id long, score long"
 EXACT = float(1 << 52)  # doubles hold integers exactly below this
 
