@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.functions.families import LINKS, SPARK, family
-from lamina.operators import convert, diagnostics, grouped, inference
+from lamina.operators import convert, diagnostics, grouped, inference, resample
 from lamina.operators.glmm import glmer
 from lamina.operators.gram import gram, level_table
 from lamina.operators.lmm import Layout, lmer, solve
+from lamina.operators.nlmm import nlmer
 from lamina.operators.nonlinear import CURVES
 from lamina.plans.frame import complete, level_codes, prepare
 from lamina.sources.frames import dyestuff, table
@@ -325,3 +326,33 @@ def quadrature_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hashed_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select(grouped.fold_of(F.col("o_custkey"), 5).alias("fold"), "o_totalprice")
     return rows.groupBy("fold").agg(F.count("*").alias("n"), F.avg("o_totalprice").alias("mean"))
+
+
+# resampling and nonlinear fits
+
+@query()
+def bootstrap_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = lmer("y ~ x + (1 | g)", planted(spark, sf_dir))
+    return resample.boot_ci(model, resample.bootstrap(model, 10, seed=1))
+
+
+@query()
+def cross_validated_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.cross_validate("y ~ x + (1 | g)", planted(spark, sf_dir), "line", 3)
+
+
+@query()
+def power_of_discount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.power_curve(lmer("y ~ x + (1 | g)", planted(spark, sf_dir)), "x", [0.0, 20.0], n=10)
+
+
+@query()
+def theta_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.profile(lmer("y ~ x + (1 | g)", planted(spark, sf_dir)), 0, 9)
+
+
+@query()
+def nonlinear_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Price against quantity by size class, averaged first, as a saturating curve with a random ceiling."""
+    rows = table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 8).alias("g"), F.col("l_quantity").alias("x")).agg(F.round(F.avg("l_extendedprice"), 2).alias("y"))
+    return nlmer("michaelis", rows, "x", "y", "g").tidy()
