@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from lamina.llm.common import parts_for, save, small_batches
 
 SHARD_ROWS, BLOCK_ROWS, PILOT_ROWS, LEAF_ROWS = 4096, 1024, 4096, 128
+MOST_TASKS = 20_000
 FOUND = "query_id long, vec_id long, score long"
 EXACT = float(1 << 52)  # doubles hold integers exactly below this
 
@@ -97,7 +98,7 @@ def _pack(rows: DataFrame, side: str) -> DataFrame:
     return rows.groupBy("number", "dim").applyInPandas(lambda r: _packed(r, side), f"{side} long, dim int, ids binary, data binary, floor binary")
 
 
-def _search(pairs: DataFrame, k: int) -> DataFrame:
+def _search(pairs: DataFrame, k: int, tasks: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
@@ -106,6 +107,7 @@ def _search(pairs: DataFrame, k: int) -> DataFrame:
                 row, vec, score = tree.search(np.frombuffer(r["q_data"], np.int64).reshape(len(queries), -1), queries, k, np.frombuffer(r["q_floor"]))
                 yield pa.RecordBatch.from_arrays([pa.array(queries[row]), pa.array(vec), pa.array(score)], ["query_id", "vec_id", "score"])
 
+    pairs = pairs.repartition(tasks, "shard", "block")  # a pair is much work for its few bytes
     return pairs.select("ids", "data", F.col("q.ids").alias("q_ids"), F.col("q.data").alias("q_data"), F.col("q.floor").alias("q_floor")).mapInArrow(run, FOUND)
 
 
@@ -131,8 +133,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
 
     def dealt(df: DataFrame, each: int) -> DataFrame:
         n = parts_for(df.count(), each)
+        groups.append(n)
         return df.withColumn("number", F.pmod(F.xxhash64("id"), F.lit(n)))
 
+    groups: list[int] = []  # of shards, then of blocks
     small_batches(vectors.sparkSession)  # a row is a packed shard
     rows, asked = clean(vectors), clean(queries)
     none = F.lit(float("-inf"))
@@ -142,14 +146,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     def paired(some_shards: DataFrame, some_blocks: DataFrame) -> DataFrame:
         # an equi-join on the pair's numbers: each shard's bytes go to every block of queries once
         numbers = some_blocks.select(F.col("dim").alias("d"), F.col("block").alias("b")).groupBy("d").agg(F.collect_set("b").alias("bs"))
-        wide = some_shards.join(numbers.hint("merge"), F.col("dim") == F.col("d")).select("dim", F.explode("bs").alias("block"), "ids", "data")
+        wide = some_shards.join(numbers.hint("merge"), F.col("dim") == F.col("d")).select("shard", "dim", F.explode("bs").alias("block"), "ids", "data")
         q = some_blocks.select(F.col("dim").alias("qd"), F.col("block").alias("qb"), F.struct("ids", "data", "floor").alias("q"))
         return wide.join(q.hint("merge"), (F.col("dim") == F.col("qd")) & (F.col("block") == F.col("qb")))
 
     pilot = shards.where(F.col("shard") == 0).groupBy("dim").agg(F.max_by(F.struct("ids", "data"), F.length("ids")).alias("s")).select(F.lit(0).cast("long").alias("shard"), "dim", F.substring("s.ids", 1, PILOT_ROWS * 8).alias("ids"), F.expr(f"substring(s.data, 1, {PILOT_ROWS * 8} * dim)").alias("data"))
-    first = _best(_search(paired(pilot, blocks), k), k).where(F.size("best") == k)
+    first = _best(_search(paired(pilot, blocks), k, min(groups[1], MOST_TASKS)), k).where(F.size("best") == k)
     floors = first.select(F.col("query_id").alias("id"), (-F.col("best")[k - 1]["s"]).cast("double").alias("known"))
     seeded = asked.join(floors, "id", "left").withColumn("floor", F.coalesce("known", none)).drop("known")
     seeded = save(_pack(dealt(seeded, block_rows), "block"), "seeded", "lz4")
-    best = _best(_search(paired(shards, seeded), k), k)
+    best = _best(_search(paired(shards, seeded), k, min(groups[0] * groups[1], MOST_TASKS)), k)
     return best.select("query_id", F.posexplode("best").alias("at", "x")).select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.s")).alias("score"))
