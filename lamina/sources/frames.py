@@ -16,3 +16,57 @@ DYESTUFF = {"A": (1545, 1440, 1440, 1520, 1580), "B": (1540, 1555, 1490, 1560, 1
 
 def dyestuff(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(b, float(y)) for b, ys in DYESTUFF.items() for y in ys], "Batch string, Yield double")
+
+
+# Reaction times (ms) on days 0 to 9 of eighteen subjects, in the order of SUBJECTS.
+SUBJECTS = (308, 309, 310, 330, 331, 332, 333, 334, 335, 337, 349, 350, 351, 352, 369, 370, 371, 372)
+REACTION = (
+    249.56, 258.7047, 250.8006, 321.4398, 356.8519, 414.6901, 382.2038, 290.1486, 430.5853, 466.3535, 222.7339, 205.2658, 202.9778, 204.707, 207.7161,
+    215.9618, 213.6303, 217.7272, 224.2957, 237.3142, 199.0539, 194.3322, 234.32, 232.8416, 229.3074, 220.4579, 235.4208, 255.7511, 261.0125,
+    247.5153, 321.5426, 300.4002, 283.8565, 285.133, 285.7973, 297.5855, 280.2396, 318.2613, 305.3495, 354.0487, 287.6079, 285.0, 301.8206, 320.1153,
+    316.2773, 293.3187, 290.075, 334.8177, 293.7469, 371.5811, 234.8606, 242.8118, 272.9613, 309.7688, 317.4629, 309.9976, 454.1619, 346.8311,
+    330.3003, 253.8644, 283.8424, 289.555, 276.7693, 299.8097, 297.171, 338.1665, 340.8485, 305.3211, 354.0032, 387.6167, 265.4731, 276.2012,
+    243.3647, 254.6723, 279.0244, 284.1912, 305.5248, 331.5229, 335.7469, 377.299, 241.6083, 273.9472, 254.4907, 270.8021, 251.4519, 254.6362,
+    245.4523, 235.311, 235.7541, 237.2466, 312.3666, 313.8058, 291.6112, 346.1222, 365.7324, 391.8385, 404.2601, 416.6923, 455.8643, 458.9167,
+    236.1032, 230.3167, 238.9256, 254.922, 250.7103, 269.7744, 281.5648, 308.102, 336.2806, 351.6451, 256.2968, 243.4543, 256.2046, 255.5271,
+    268.9165, 329.7247, 379.4445, 362.9184, 394.4872, 389.0527, 250.5265, 300.0576, 269.8939, 280.5891, 271.8274, 304.6336, 287.7466, 266.5955,
+    321.5418, 347.5655, 221.6771, 298.1939, 326.8785, 346.8555, 348.7402, 352.8287, 354.4266, 360.4326, 375.6406, 388.5417, 271.9235, 268.4369,
+    257.2424, 277.6566, 314.8222, 317.2135, 298.1353, 348.1229, 340.28, 366.5131, 225.264, 234.5235, 238.9008, 240.473, 267.5373, 344.1937, 281.1481,
+    347.5855, 365.163, 372.2288, 269.8804, 272.4428, 277.8989, 281.7895, 279.1705, 284.512, 259.2658, 304.6306, 350.7807, 369.4692, 269.4117, 273.474,
+    297.5968, 310.6316, 287.1726, 329.6076, 334.4818, 343.2199, 369.1417, 364.1236,
+)
+
+
+# New cases and herd sizes by herd and period.
+CASES = (
+    2, 3, 4, 0, 3, 1, 1, 0, 4, 4, 3, 0, 1, 2, 2, 0, 3, 0, 2, 0, 1, 3, 0, 0, 6, 2, 0, 0, 0, 2, 0, 0, 2, 0, 0, 0, 1, 2, 0, 0, 0, 0, 1, 0, 2, 2, 1, 0, 0,
+    0, 1, 0, 2, 2, 0, 0,
+)
+HERD_SIZE = (
+    14, 12, 9, 5, 22, 18, 21, 22, 17, 12, 9, 5, 31, 28, 22, 16, 10, 9, 9, 7, 12, 10, 8, 3, 30, 25, 24, 19, 25, 24, 23, 22, 9, 7, 5, 4, 22, 18, 16, 12,
+    13, 10, 9, 8, 19, 17, 14, 8, 8, 7, 5, 4, 17, 15, 12, 10,
+)
+
+
+# Diameters (mm) of six samples (A to F) on each of 24 plates (a to x).
+DIAMETERS = (
+    27, 23, 26, 23, 23, 21, 31, 27, 28, 24, 22, 25, 26, 23, 24, 23, 22, 21, 25, 23, 22, 21, 22, 22, 24, 21, 24, 20, 21, 19, 28, 24, 27, 23, 24, 24,
+    24, 21, 25, 21, 21, 17, 28, 24, 26, 23, 23, 22, 27, 24, 26, 21, 24, 19, 22, 21, 23, 19, 19, 19, 25, 22, 24, 20, 24, 22, 27, 24, 27, 22, 22, 22,
+    27, 23, 25, 22, 22, 22, 23, 21, 23, 20, 21, 18, 26, 23, 24, 22, 24, 20, 28, 23, 25, 22, 21, 22, 25, 23, 23, 19, 20, 20, 27, 24, 25, 23, 23, 21,
+    21, 19, 22, 18, 18, 17, 27, 24, 26, 22, 23, 22, 26, 22, 24, 22, 22, 22, 27, 24, 25, 22, 22, 21, 26, 22, 26, 21, 22, 21, 22, 20, 21, 18, 18, 18,
+)
+
+
+def sleepstudy(spark: SparkSession) -> DataFrame:
+    rows = [(float(r), i % 10, str(SUBJECTS[i // 10])) for i, r in enumerate(REACTION)]
+    return spark.createDataFrame(rows, "Reaction double, Days int, Subject string")
+
+
+def penicillin(spark: SparkSession) -> DataFrame:
+    rows = [(d, "abcdefghijklmnopqrstuvwx"[i // 6], "ABCDEF"[i % 6]) for i, d in enumerate(DIAMETERS)]
+    return spark.createDataFrame(rows, "diameter int, plate string, sample string")
+
+
+def cbpp(spark: SparkSession) -> DataFrame:
+    rows = [(str(i // 4 + 1), c, n, str(i % 4 + 1)) for i, (c, n) in enumerate(zip(CASES, HERD_SIZE, strict=True))]
+    return spark.createDataFrame(rows, "herd string, incidence int, size int, period string")
