@@ -10,6 +10,7 @@ from lamina.operators.diagnostics import condition_indices, dispersion, icc, inf
 from lamina.operators.glmm import glmer, glmer_nb
 from lamina.operators.grouped import extend, fold_of, is_nested, lm_list, one_way, weighted_metrics
 from lamina.operators.inference import anova, criteria, drop1, emmeans, linear_hypothesis, pairs, rank_models, reference_grid, satterthwaite
+from lamina.operators.large import lmer_large
 from lamina.operators.lmm import lmer
 from lamina.operators.nlmm import nlmer
 from lamina.operators.nonlinear import CURVES

@@ -69,7 +69,7 @@ def gram(prep: Prepared) -> Gram:
         width, table = len(prep.z_names[k]), level_table(prep, k)
         rows = table.limit(MAX_LEVELS + 1).toPandas().sort_values("key")
         if len(rows) > MAX_LEVELS:
-            raise ValueError(f"{prep.random[k].group} has more than {MAX_LEVELS} levels; use operators.gram.level_table with distributed_criterion")
+            raise ValueError(f"{prep.random[k].group} has more than {MAX_LEVELS} levels; use operators.large.lmer_large")
         out.keys.append(rows["key"].tolist())
         out.zz.append(np.array(rows["zz"].to_list()).reshape(-1, width, width))
         out.zx.append(np.array(rows["zx"].to_list()).reshape(-1, width, prep.p))

@@ -149,3 +149,13 @@ def test_streaming_gram(spark, tmp_path, rows):
     got = {r.level: (r.n, r.s_x_y) for r in spark.table("gram_stream").collect()}
     want = {k: (len(d), (d.x * d.y).sum()) for k, d in rows[0].groupby("g")}
     assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1]) for k in want)
+
+
+def test_levels_on_the_cluster_give_the_same_fit(rows):
+    from lamina.operators.large import lmer_large
+
+    for formula in ("y ~ x + (1 | g)", "y ~ x + f + (1 + x | g)"):
+        small, large = lmer(formula, rows[1], weights="w"), lmer_large(formula, rows[1], weights="w", limit=400)
+        assert large.deviance == pytest.approx(small.deviance(), abs=1e-5) and np.allclose(large.beta, small.solved.beta, atol=1e-4)
+        u = {r.level: r.u for r in large.effects.collect()}
+        assert all(np.allclose(u[k], v, atol=1e-3) for k, v in zip(small.gram.keys[0], small.solved.u[0], strict=True))
