@@ -9,13 +9,13 @@ from lamina.operators.convert import cov2sdcor, cov_to_theta, gauss_hermite, gau
 from lamina.operators.diagnostics import condition_indices, dispersion, icc, influential, r2_nakagawa, vif, zero_inflation
 from lamina.operators.glmm import glmer, glmer_nb
 from lamina.operators.grouped import extend, fold_of, is_nested, lm_list, one_way, weighted_metrics
-from lamina.operators.inference import anova, criteria, drop1, emmeans, linear_hypothesis, pairs, rank_models, reference_grid, satterthwaite
+from lamina.operators.inference import anova, anova_terms, criteria, drop1, emmeans, linear_hypothesis, pairs, rank_models, reference_grid, satterthwaite
 from lamina.operators.large import lmer_large
 from lamina.operators.lmm import lmer
 from lamina.operators.nlmm import nlmer
 from lamina.operators.nonlinear import CURVES
 from lamina.operators.optimise import golden, minimise
-from lamina.operators.resample import boot_ci, bootstrap, cross_validate, em_reml, power, power_curve, profile, profile_interval
+from lamina.operators.resample import boot_ci, bootstrap, cross_validate, em_reml, power, power_curve, profile, profile_interval, simulate_formula, template
 from lamina.operators.staged import criterion, model, optimise, parse_data
 from lamina.plans.formula import findbars, is_mixed, nobars, parse, set_cov_type, split_double_bars, subbars, update
 from lamina.sources.frames import dyestuff, table

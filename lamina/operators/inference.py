@@ -102,6 +102,20 @@ def rank_models(table: DataFrame, by: str = "aicc") -> DataFrame:
     return table.withColumn("cumulative", F.sum("weight").over(ordered.rowsBetween(Window.unboundedPreceding, 0))).drop("raw")
 
 
+def anova_terms(model: LmerResult) -> DataFrame:
+    """Wald F tests of whole terms, each with the mean Satterthwaite degrees of freedom of its columns."""
+    dof, rows = satterthwaite(model), []
+    names = model.prep.x_names
+    for term in dict.fromkeys(model.prep.assign):
+        at = [i for i, t in enumerate(model.prep.assign) if t == term]
+        if term == "(Intercept)":
+            continue
+        den = float(np.mean([dof[names[i]] for i in at]))
+        test = linear_hypothesis(model, np.eye(len(names))[at], df=den)
+        rows.append((term, test["df"], den, test["f"], test["p_value"]))
+    return model.source.sparkSession.createDataFrame(rows, "term string, num_df int, den_df double, f double, p_value double")
+
+
 def reference_grid(model, specs: list[str], at: dict[str, list] | None = None) -> tuple[DataFrame, list[str]]:
     """All combinations of factor levels, numeric variables at their means or at the given values: small by construction."""
     source, formula = model.source, model.formula

@@ -164,3 +164,33 @@ def em_reml(model_formula: str, data: DataFrame, iterations: int = 200, tol: flo
             break
         last = s.deviance
     return sigma, s.sigma2, turn
+
+
+def template(spark, factors: dict[str, int], per_cell: int = 1) -> DataFrame:
+    """A balanced design: every combination of the factors' levels, ``per_cell`` rows each, with a row id."""
+    total = math.prod(factors.values()) * per_cell
+    rows, step = spark.range(total).withColumnRenamed("id", "row"), per_cell
+    for name, n in factors.items():
+        rows = rows.withColumn(name, F.concat(F.lit(f"{name}"), ((F.floor(F.col("row") / step) % n) + 1).cast("string")))
+        step *= n
+    return rows
+
+
+def simulate_formula(formula: str, data: DataFrame, beta: list[float], theta: list[float], sigma: float, seed: int = 0) -> DataFrame:
+    """``data`` prepared for ``formula`` with a simulated response ``sim``; needs no response column in the data."""
+    from lamina.operators.lmm import layout_of
+    from lamina.plans.formula import parse
+    from lamina.plans.frame import prepare
+
+    f = parse(formula)
+    prep = prepare(f, data if f.response in data.columns else data.withColumn(f.response, F.lit(0.0)))
+    if len(beta) != prep.p:
+        raise ValueError(f"{prep.p} coefficients: {', '.join(prep.x_names)}")
+    total = F.col("o")
+    for i, b in enumerate(beta):
+        total = total + float(b) * F.col(f"x{i}")
+    for k, low in enumerate(layout_of(prep).factors(np.asarray(theta, float))):
+        drawn = [_normal_of(F.col(f"g{k}"), seed, 100 * k + i) for i in range(low.shape[0])]
+        for i, z in enumerate(random_names(prep, k)):
+            total = total + sigma * sum((float(low[i, j]) * drawn[j] for j in range(i + 1)), F.lit(0.0)) * F.col(z)
+    return prep.data.withColumn("sim", total + sigma * F.randn(seed) / F.sqrt("w"))

@@ -98,6 +98,7 @@ class Prepared:
     levels: dict[str, list[str]] = field(default_factory=dict)
     contrasts: dict[str, str] = field(default_factory=dict)
     columns: list[Column] = field(default_factory=list)  # the x columns, over the original names
+    assign: list[str] = field(default_factory=list)  # the term of each x column
 
     @property
     def p(self) -> int:
@@ -133,10 +134,12 @@ class Encoder:
 
     def terms(self, terms: tuple[Term, ...]) -> list[tuple[str, Column]]:
         out: list[tuple[str, Column]] = []
+        self.assign: list[str] = []
         full = () not in terms
         for term in terms:
             if not term:
                 out.append(("(Intercept)", F.lit(1.0)))
+                self.assign.append("(Intercept)")
                 continue
             alone = len(term) == 1 and full and (term[0].name in self.levels or is_factor(self.df, term[0].name))
             parts = [self.factor(f, alone) for f in term]
@@ -145,6 +148,9 @@ class Encoder:
             for part in parts:
                 made = [(f"{a}:{b}" if a else b, y if x is None else x * y) for a, x in made for b, y in part]
             out += made
+            self.assign += [show(term)] * len(made)
+        if not out:
+            self.assign.append("(Intercept)")
         return out or [("(Intercept)", F.lit(1.0))]
 
 
@@ -165,6 +171,7 @@ def prepare(formula: str | Formula, df: DataFrame, weights: str | None = None, o
         raise ValueError(f"weights must be finite and positive: {bad} row or more is not")
     encode = Encoder(kept, contrasts)
     x = encode.terms(f.fixed)
+    assign = encode.assign
     y, w = F.col(f"`{f.response}`").cast("double"), F.col(f"`{weights}`").cast("double") if weights else F.lit(1.0)
     if f.trials:
         trials = F.col(f"`{f.trials}`").cast("double")
@@ -178,7 +185,7 @@ def prepare(formula: str | Formula, df: DataFrame, weights: str | None = None, o
     columns += [c.alias(f"x{i}") for i, (_, c) in enumerate(x)]
     for k, (r, zs) in enumerate(zip(f.random, z, strict=True)):
         columns += [group_key(r).alias(f"g{k}"), *[c.alias(f"z{k}_{i}") for i, (_, c) in enumerate(zs)]]
-    return Prepared(f, kept.select(*columns), [n for n, _ in x], list(f.random), [[n for n, _ in zs] for zs in z], encode.levels, contrasts or {}, [c for _, c in x])
+    return Prepared(f, kept.select(*columns), [n for n, _ in x], list(f.random), [[n for n, _ in zs] for zs in z], encode.levels, contrasts or {}, [c for _, c in x], assign)
 
 
 def describe(terms: tuple[Term, ...]) -> str:

@@ -2,7 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from lamina.operators import checks, resample, staged
+from lamina.operators import checks, inference, resample, staged
 from lamina.operators.gram import gram
 from lamina.operators.lmm import lmer
 from lamina.plans.frame import prepare
@@ -52,3 +52,13 @@ def test_stages_and_checks(data):
     assert len(checks.problems(prep, gram(prep))) >= 2
     with pytest.raises(ValueError):
         checks.run(prep, gram(prep), "stop")
+
+
+def test_templates_simulation_and_term_tests(spark, data):
+    rows = resample.template(spark, {"s": 6, "t": 3}, 4)
+    assert rows.count() == 72 and rows.select("s", "t").distinct().count() == 18
+    sim = resample.simulate_formula("y ~ t + (1 | s)", rows, [1, 2, 3], [1.0], 0.01, seed=4)
+    out = sim.groupBy("g0").agg({"sim": "avg"}).count()
+    assert out == 6
+    table = {r.term: r for r in inference.anova_terms(lmer("y ~ x + (1 | g)", data)).collect()}
+    assert set(table) == {"x"} and table["x"].num_df == 1 and 60 < table["x"].den_df < 120 and table["x"].p_value < 1e-3
