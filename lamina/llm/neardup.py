@@ -25,7 +25,7 @@ from lamina.llm.components import components
 from lamina.llm.shingles import forget, mix, shingle_set
 
 KEEP, WHOLE, RUN = 64, 80, 3
-BLOCK = 256
+BLOCK = 128
 BANDS = 10  # of the distance to the named class; the last also holds what the estimate left untested
 
 
