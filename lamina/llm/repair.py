@@ -26,8 +26,8 @@ from lamina.llm.common import checked, save, small_batches, trim
 
 MAGIC = b"RPG1"
 SHARD_TOKENS, PASSES, RULES_A_PASS, LEAST = 2_000_000, 4, 4000, 16
-#: Chunks that encoding remembers, about 250 MB.
-REMEMBERED = 1_400_000
+#: Chunks that encoding remembers, about 350 MB.
+REMEMBERED = 2_000_000
 _HASH_BITS, _SPREAD = 18, (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77))
 
 
