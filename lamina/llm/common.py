@@ -16,8 +16,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACE = " \t\n\x0b\x0c\r"
 #: Largest number of (narrow) rows that an operator broadcasts; beyond it the same join shuffles.
 BROADCAST_ROWS = 200_000
-#: Rows in an Arrow batch sent to Python: long texts and packed arrays (up to a few MB a row) stay within some 100 MB.
-ARROW_ROWS = 100
+#: Rows in an Arrow batch sent to Python. Packed arrays of a few MB a row are further bounded by a task's share of a file.
+ARROW_ROWS = 500
 
 
 def shared_dir(spark: SparkSession) -> str:
