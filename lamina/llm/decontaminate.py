@@ -4,8 +4,8 @@ Texts become arrays of word hashes. At every position, each fixed mask hashes si
 the others, so that substituted words at ignored positions do not hide an overlap. Seeds of the documents meet seeds of
 the benchmark items in a join; around every hit the twelve words are compared in full, and at most two may differ.
 
-The masks are two complementary pairs: any one substitution leaves a whole mask, and of two substitutions all but those
-that fall on one position of each kind; a longer passage has further windows for these.
+The twelve positions fall in four classes of three, and the masks are all six pairs of classes: two substitutions touch at
+most two classes, so the pair of the others is a whole mask, and no window with up to two substitutions is missed.
 """
 
 from __future__ import annotations
@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from lamina.llm.common import fits, row_key, save
 
 SPAN, PIECE = 12, 32
-MASKS = ((0, 2, 4, 6, 8, 10), (1, 3, 5, 7, 9, 11), (0, 1, 4, 5, 8, 9), (2, 3, 6, 7, 10, 11))
+MASKS = ((0, 2, 4, 6, 8, 10), (1, 3, 5, 7, 9, 11), (0, 1, 4, 5, 8, 9), (2, 3, 6, 7, 10, 11), (0, 3, 4, 7, 8, 11), (1, 2, 5, 6, 9, 10))
+#: Substitutions in a window that leave a whole mask wherever they fall.
+MOST_ALLOWED = 2
 #: Seeds (narrow rows with one window of twelve hashes) up to which the benchmark side is broadcast: below 150 MB.
 SEED_ROWS = 1_000_000
 
@@ -36,14 +38,18 @@ def _seeds(df: DataFrame, keep: list[str]) -> DataFrame:
     piece = F.explode(F.transform(F.sequence(F.lit(0), F.size("h") - SPAN, F.lit(PIECE)), lambda i: F.slice("h", i + 1, PIECE + SPAN - 1)))
     pieces = df.where(F.size("h") >= SPAN).select(*keep, piece.alias("c"))
     rows = pieces.select(*keep, "c", F.explode(F.sequence(F.lit(0), len(MASKS) * (F.size("c") - SPAN + 1) - 1)).alias("q"))
-    mask, at = F.col("q").bitwiseAND(3), F.shiftright("q", 2)
-    kept = [F.when(mask < 2, 2 * j + mask).otherwise(4 * (j // 2) + j % 2 - 4 + 2 * mask) for j in range(len(MASKS[0]))]
+    mask, at = F.col("q") % len(MASKS), F.expr(f"cast(q div {len(MASKS)} as int)")
+    # every mask is two offsets below four, repeated each four words: two bits of a number for each mask
+    low, high = (F.expr(f"shiftright({sum(m[j] << 2 * i for i, m in enumerate(MASKS))}, cast(2 * (q % {len(MASKS)}) as int)) & 3") for j in (0, 1))
+    kept = [4 * (j // 2) + (high if j % 2 else low) for j in range(len(MASKS[0]))]
     seed = F.xxhash64(mask, *[F.col("c")[at + i] for i in kept])
     return rows.select(*keep, "c", at.alias("at"), seed.alias("seed"))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, keys: dict[str, Column], allowed: int = 2, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """Verified windows: the ``keys`` of the document, item_id and the number of equal words (of SPAN), all distinct."""
+    if allowed > MOST_ALLOWED:
+        raise ValueError(f"the masks are laid out for at most {MOST_ALLOWED} substitutions")
     items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item_id"), word_array(F.col(text_col)).alias("h"))
     known = save(_seeds(items, ["item_id"]).select("item_id", "seed", F.slice("c", F.col("at") + 1, SPAN).alias("item_words")).distinct(), "seeds")
     known = F.broadcast(known) if fits(known, SEED_ROWS) else known.hint("merge")

@@ -1,6 +1,7 @@
 """Scoring, decontamination, toxicity, edit-aware counts, passages and near-duplicates against brute force."""
 
 import collections
+import itertools
 import math
 import random
 import zlib
@@ -79,6 +80,25 @@ def test_decontamination_tolerates_substitutions(spark):
     assert decontaminate.contaminated(df, bench.limit(0)).collect() == [] and decontaminate.contaminated(df.limit(0), bench).collect() == []
 
 
+def test_decontamination_finds_every_placement_of_two_substitutions(spark):
+    """All 66 pairs of substituted positions of a window of twelve words, and longer items, against all windows in full."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(6))
+    items = [[word() for _ in range(n)] for n in (12, 15, 16, 18)]
+    docs = []
+    for pair in itertools.combinations(range(12), 2):
+        docs.append([word() if i in pair else w for i, w in enumerate(items[0])])
+    for n in (3, 4, 5):
+        docs += [[word() if i in gone else w for i, w in enumerate(item)] for item in items[1:] for gone in [rng.sample(range(len(item)), n) for _ in range(20)]]
+    windows = lambda ws: [ws[i : i + 12] for i in range(len(ws) - 11)]
+    best = [[max(sum(map(str.__eq__, a, b)) for a in windows(d) for b in windows(i)) for i in items] for d in docs]
+    want = {k: (sum(x >= 10 for x in b), max(b)) for k, b in enumerate(best) if max(b) >= 10}
+    df, bench = spark.createDataFrame([(k, " ".join(d)) for k, d in enumerate(docs)], "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    assert {r.doc_id: (r.n_items, r.best_words) for r in decontaminate.contaminated(df, bench).collect()} == want
+    with pytest.raises(ValueError):
+        decontaminate.contaminated(df, bench, allowed=3)
+
+
 def test_toxicity_reaches_unseen_spellings(spark):
     rng = random.Random(2)
     clean = ["".join(rng.choice(["an", "er", "th", "ou", "in", "re", "st"]) for _ in range(rng.randint(1, 4))) for _ in range(300)]
