@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lamina.llm import decontaminate, linededup, neardup, packing, toxicity
 from lamina.llm.bpe import vocabulary_path
-from lamina.llm.common import save
+from lamina.llm.common import checked, row_key, save
 
 TOXIC_FROM = 0.7
 
@@ -30,16 +30,21 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.8) stays: the smallest id, and
-    of rows that share it the first by text. Documents without words are no duplicates of each other."""
-    found = neardup.near_duplicates(docs, shingle=5, percent=80)
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    again = save(left.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__gone")), "again")
+    """One row of each group of near duplicates (five-word shingles, similarity 0.8) stays: the smallest id, and of rows
+    that share it the first by text. Rows are told apart by id and text, so rows that share an id but no group all stay.
+    Rows without words or without an id are no duplicates of each other."""
+    keyed = docs.withColumn("__k", F.when(F.col("doc_id").isNotNull(), row_key(F.col("doc_id"), F.col("text"))[0]))
+    found = save(neardup.near_duplicates(keyed, shingle=5, percent=80, id_col="__k").where("n_shingles > 0 and doc_id is not null").select(F.col("doc_id").alias("__k"), "component_id", "kept"), "found")
+    groups = save(found.where(~F.col("kept")).select("component_id").distinct(), "groups")
+    members = save(found.join(checked(groups), "component_id").select("__k", "component_id").distinct(), "members")
+    chosen = keyed.join(checked(members), "__k").groupBy("component_id").agg(F.min(F.struct("doc_id", "text", "__k"))["__k"].alias("__k"))
+    gone = save(members.join(chosen.select("__k"), "__k", "left_anti").select("__k"), "gone")
+    left = keyed.join(checked(gone), "__k", "left_anti")
+    again = save(found.groupBy("__k").agg(F.count("*").alias("n")).where("n > 1").select("__k"), "again")
     if not again.head(1):
         return left.select(*docs.columns)
-    first = left.join(again, F.col("doc_id") == F.col("__gone")).drop("__gone").groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("r"))
-    return left.join(again, F.col("doc_id") == F.col("__gone"), "left_anti").select(*docs.columns).unionByName(first.select("doc_id", "r.*"))
+    first = left.join(checked(again), "__k").groupBy("__k").agg(F.min(F.struct("text", "doc_id", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("r"))
+    return left.join(checked(again), "__k", "left_anti").select(*docs.columns).unionByName(first.select("r.*"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

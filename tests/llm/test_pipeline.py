@@ -32,3 +32,13 @@ def test_stages_take_nulls_repeats_and_empty_tables(spark):
 
 def test_queries_are_registered():
     assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{i}" for i in range(1, 11)} and set(queries.SQL) <= set(queries.QUERIES)
+
+
+def test_near_dedup_tells_rows_apart_by_id_and_text(spark):
+    """Rows with one id and unrelated texts all stay, whatever becomes of one of them."""
+    text = lambda k, n=40: " ".join(f"w{k}x{i}" for i in range(n))
+    rows = [(1, text(1)), (7, text(1)), (7, text(2)), (7, text(3)), (7, text(3)), (8, text(2)), (9, text(4)), (9, text(5)), (None, text(4)), (5, ""), (5, None), (6, text(6) + " end"), (6, text(6))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = pipeline.drop_near_duplicates(spark, docs, DATA)
+    want = [(1, text(1)), (7, text(2)), (7, text(3)), (9, text(4)), (9, text(5)), (None, text(4)), (5, ""), (5, None), (6, text(6))]
+    assert got.columns == docs.columns and sorted(map(str, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(str, want))
