@@ -25,3 +25,16 @@ def test_query_runs_and_equals_its_sql(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 2 and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_adjusted_p_values_cover_every_supplier(spark):
+    data = "/root/testdata/sf0.01"
+    got = QUERIES["adjusted_p_values"](spark, data).toPandas().sort_values("k")
+    keys = sorted(r[0] for r in spark.read.parquet(f"{data}/lineitem.parquet").select("l_suppkey").distinct().collect())
+    p = [(1 + k * 37 % 101) / 2000 for k in keys]
+    ranked, m = sorted(p), len(p)
+    holm = [min(1, max((m - i) * q for i, q in enumerate(ranked) if q <= x)) for x in p]
+    fdr = [min(1, min(m * q / (i + 1) for i, q in enumerate(ranked) if q >= x)) for x in p]
+    assert list(got["k"]) == keys and len(keys) > 60
+    for name, want in (("p", p), ("holm", holm), ("fdr", fdr), ("bonferroni", [min(1, m * x) for x in p])):
+        assert list(got[name]) == pytest.approx(want, abs=2e-6)
