@@ -17,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
-    return lm.lm_scores(table(spark, sf_dir, "documents"), held_out, order=2)
+    return lm.lm_scores(table(spark, sf_dir, "documents"), held_out, order=3, strength=30.0)
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lamina.llm import decontaminate, editcount, lm, neardup, passages, toxicity
+from lamina.llm import decontaminate, editcount, lm, neardup, passages, queries, toxicity
 from lamina.llm.bpe import vocabulary_path
 from lamina.llm.components import components
 from lamina.llm.shingles import shingle_set
@@ -50,6 +50,16 @@ def test_lm_scores_against_recursion(spark, odd_docs, order):
     assert lm.lm_scores(docs.limit(0), F.lit(False)).collect() == []
 
 
+def test_registered_scoring_counts_trigrams(monkeypatch):
+    asked = {}
+    monkeypatch.setattr(queries, "table", lambda *a: None)
+    monkeypatch.setattr(lm, "lm_scores", lambda docs, held_out, **settings: asked.update(settings))
+    monkeypatch.setattr(queries.F, "crc32", lambda c: 0)
+    monkeypatch.setattr(queries.F, "col", lambda c: type("C", (), {"cast": lambda self, t: self})())
+    queries.op1_lm_scoring(None, "")
+    assert asked["order"] >= 3
+
+
 def test_automaton_states_sum_to_one():
     hashes = np.arange(1, 6, dtype=np.uint64) << np.uint64(20)
     grams = lm.Grams(np.array([0, 1, 0, 1, 2, 3]), np.array([4, 2]), hashes, 2)  # words 0..2, end 3, beginning 4
