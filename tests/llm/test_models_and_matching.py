@@ -193,6 +193,19 @@ def brute_components(texts, n):
     return [(doc, len(sets[i]), min(least[find(i)])) for i, (doc, _) in enumerate(texts)]
 
 
+def test_passages_cover_lines_repeated_many_times(spark):
+    """Lines shorter than a window, repeated: the whole stretch is a passage, not its first occurrences."""
+    prose = lambda d, n: [f"d{d}p{i}" for i in range(n)]
+    docs, want = [], {}
+    for k, (size, times) in enumerate([(10, 60), (40, 20)]):
+        line = [f"line{k}w{i}" for i in range(size)]
+        for d, before in ((2 * k, 70), (2 * k + 1, 33)):
+            docs.append((d, " ".join(prose(d, before) + line * times + prose(100 + d, 50))))
+            want[d] = (before, before + size * times)
+    found = {r.doc_id: [(p["start"], p["stop"]) for p in r.passages] for r in passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert found == {d: [r] for d, r in want.items()}
+
+
 def test_near_duplicates_against_brute_force(spark):
     rng = random.Random(3)
     texts = []
