@@ -31,7 +31,8 @@ class ChunkEncoder:
 
     ``words=True`` is for vocabularies that drop white space and lower-case: chunks are then separated by ASCII white
     space, with A-Z lowered first. Otherwise chunks are separated by single spaces; a text in which a space touches other
-    white space is encoded whole. Strings of special tokens in a text are ordinary text.
+    white space is encoded whole, and so is one that holds the string of a special token, which the library takes as that
+    token.
     """
 
     def __init__(self, path: str, words: bool = False, entries: int = CACHE_ENTRIES) -> None:
@@ -39,7 +40,7 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words, self.entries = words, entries
         if words:
             self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
@@ -116,7 +117,17 @@ class ChunkEncoder:
     def encode(self, texts: list) -> list[bytes]:
         """The ids of each text as bytes; null and empty texts have none. A few texts at a time, to stay in the processor's
         caches."""
-        return [x for at in range(0, len(texts), 256) for x in self._encode(texts[at : at + 256])]
+        whole = [i for i, t in enumerate(texts) if t and any(x in t for x in self.special)]
+        if whole:
+            texts = list(texts)
+            apart = self._ids([texts[i] for i in whole])
+            for i in whole:
+                texts[i] = None
+        out = [x for at in range(0, len(texts), 256) for x in self._encode(texts[at : at + 256])]
+        if whole:
+            for i, ids in zip(whole, apart, strict=True):
+                out[i] = ids
+        return out
 
     def _found(self, split: list[list]) -> list[list]:
         """The cached ids of every chunk, after learning those that are missing."""
