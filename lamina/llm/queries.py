@@ -81,20 +81,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL: dict[str, str] = {
+    # Ten equal words of twelve have four equal ones in a row, so aligning on runs of four finds every pair of windows; all
+    # windows of an alignment are then compared in full.
     "op2_decontamination": r"""
 WITH d AS (
-  SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\pL\pN]+'), lambda x: x <> '') AS w FROM documents),
+  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\pL\pN]+'), lambda x: x <> '') AS w FROM documents),
 b AS (
-  SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\pL\pN]+'), lambda x: x <> '') AS w FROM benchmark WHERE item_id IS NOT NULL),
-dw AS (SELECT doc_id, w[i : i + 11] AS v FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d)),
-bw AS (SELECT item_id, w[i : i + 11] AS v FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM b)),
-masks AS (SELECT unnest([[1,3,5,7,9,11], [2,4,6,8,10,12], [1,2,5,6,9,10], [3,4,7,8,11,12]]) AS m),
-ds AS (SELECT doc_id, v, m, array_to_string(list_transform(m, lambda i: v[i]), ' ') AS seed FROM dw, masks),
-bs AS (SELECT item_id, v, m, array_to_string(list_transform(m, lambda i: v[i]), ' ') AS seed FROM bw, masks),
-hits AS (
-  SELECT doc_id, item_id, len(list_filter(range(1, 13), lambda i: ds.v[i] = bs.v[i])) AS equal_words FROM ds JOIN bs USING (m, seed))
-SELECT doc_id, count(DISTINCT item_id) AS n_items, min(item_id) AS first_item, max(equal_words)::INT AS best_words
-FROM hits WHERE equal_words >= 10 GROUP BY doc_id""",
+  SELECT row_number() OVER () AS s, item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\pL\pN]+'), lambda x: x <> '') AS w
+  FROM benchmark WHERE item_id IS NOT NULL),
+dg AS (SELECT r, p, array_to_string(w[p : p + 3], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 2)) AS p FROM d)),
+bg AS (SELECT s, q, array_to_string(w[q : q + 3], ' ') AS g FROM (SELECT s, w, unnest(range(1, len(w) - 2)) AS q FROM b)),
+aligned AS (SELECT DISTINCT r, s, p - q AS shift FROM dg JOIN bg USING (g)),
+sized AS (
+  SELECT r, s, shift, doc_id, item_id, d.w AS dw, b.w AS bw, CASE WHEN len(b.w) >= 12 THEN 12 ELSE len(b.w) END AS size
+  FROM aligned JOIN d USING (r) JOIN b USING (s) WHERE len(b.w) >= 8),
+windows AS (SELECT *, unnest(range(greatest(1, 1 + shift), least(len(dw), len(bw) + shift) - size + 2)) AS p FROM sized),
+same AS (SELECT doc_id, item_id, shift, p, size, len(list_filter(range(0, size), lambda i: dw[p + i] = bw[p - shift + i])) AS equal_words FROM windows),
+stretches AS (
+  SELECT doc_id, item_id, max(p + size) - min(p) AS stretch, max(equal_words) AS equal_words
+  FROM same WHERE equal_words >= CASE WHEN size = 12 THEN 10 ELSE size END GROUP BY doc_id, item_id, shift)
+SELECT doc_id, count(DISTINCT item_id) AS n_items, min(item_id) AS first_item, max(equal_words)::INT AS best_words, max(stretch)::INT AS overlap_words
+FROM stretches GROUP BY doc_id""",
     "op3_line_dedup": r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
