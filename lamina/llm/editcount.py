@@ -8,6 +8,7 @@ more on each side, whose borders may have moved, and updates the sums above them
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 from itertools import islice
 
@@ -114,17 +115,34 @@ class CountTree:
             kept = self.sums[self.size : self.size + len(self.leaves), 1].tolist()
             self._grow(self.leaves[:lo] + fresh + self.leaves[hi:], kept[:lo] + counts + kept[hi:])
 
+    def pack(self) -> bytes:
+        """The tree as bytes, to be kept beside its document: number of leaves, their lengths and counts, their text."""
+        own = self.sums[self.size : self.size + len(self.leaves)].astype("<u4")
+        return struct.pack("<II", len(self.leaves), self.leaf_chars) + own.tobytes() + self.text.encode("utf-8", "surrogatepass")
+
+    @classmethod
+    def unpack(cls, data: bytes, path: str) -> CountTree:
+        """A kept tree; nothing is encoded again."""
+        n, leaf_chars = struct.unpack_from("<II", data)
+        own = np.frombuffer(data, "<u4", 2 * n, 8).reshape(n, 2)
+        text, ends = data[8 + 8 * n :].decode("utf-8", "surrogatepass"), np.cumsum(own[:, 0]).tolist()
+        tree = cls.__new__(cls)
+        tree.path, tree.leaf_chars, tree.encoded = path, leaf_chars, 0
+        tree._grow([text[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], own[:, 1].tolist())
+        return tree
+
     @staticmethod
     def _border(left: str, right: str) -> bool:
         return len(right) > 1 and right[0] == " " and not right[1].isspace() and bool(left) and not left[-1].isspace()
 
 
-def edited_counts(docs: DataFrame, path: str, edits: Column | None = None, redact: tuple[str, str] | None = None, leaf_chars: int = LEAF_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def edited_counts(docs: DataFrame, path: str, edits: Column | None = None, redact: tuple[str, str] | None = None, leaf_chars: int = LEAF_CHARS, id_col: str = "doc_id", text_col: str = "text", tree_col: str | None = None, keep: bool = False) -> DataFrame:
     """Token counts before and after edits: doc_id, n_tokens, n_tokens_after, n_edits, n_chars, chars_reencoded.
 
     The edits come from ``redact``, a regular expression and what replaces its matches, or from ``edits``, a column of array<struct<start: int, stop: int, new: string>>, in characters (code points)
     of the text before any edit, in ascending order and without overlaps; null is no edit. ``chars_reencoded`` counts the characters that
-    the edits made the tree encode again. Null and empty texts have no tokens. Repeated rows count as often as they
+    the edits made the tree encode again. With ``keep`` the edited trees are returned too (column tree); a table that has
+    them in ``tree_col`` goes on from them, reads no text, and encodes only what new edits touch. Null and empty texts have no tokens. Repeated rows count as often as they
     occur, a null id stays null, and other columns play no part.
     """
     small_batches(docs.sparkSession)
@@ -135,19 +153,26 @@ def edited_counts(docs: DataFrame, path: str, edits: Column | None = None, redac
         for batch in batches:
             out = []
             docs_, texts, edits_ = (batch.column(i).to_pylist() for i in range(3))
-            split = [leaves_of(t or "", leaf_chars) for t in texts]
-            counts = iter([len(x) // 4 for x in encoder(path).encode([leaf for leaves in split for leaf in leaves])])
-            for doc, text, changes, leaves in zip(docs_, texts, edits_, split, strict=True):
+            if tree_col is None:
+                split = [leaves_of(t or "", leaf_chars) for t in texts]
+                counts = iter([len(x) // 4 for x in encoder(path).encode([leaf for leaves in split for leaf in leaves])])
+                trees = (CountTree(t or "", path, leaf_chars, list(islice(counts, len(leaves)))) for t, leaves in zip(texts, split, strict=True))
+            else:
+                trees = (CountTree.unpack(t, path) if t is not None else CountTree("", path, leaf_chars, [0]) for t in texts)
+            for doc, changes, tree in zip(docs_, edits_, trees, strict=True):
+                text = tree.text
                 if find:
-                    changes = [{"start": m.start(), "stop": m.end(), "new": redact[1]} for m in find.finditer(text or "")]
-                tree = CountTree(text or "", path, leaf_chars, list(islice(counts, len(leaves))))
+                    changes = [{"start": m.start(), "stop": m.end(), "new": redact[1]} for m in find.finditer(text)]
                 before, built = tree.tokens, tree.encoded
                 for e in reversed(changes or []):  # from the end, so that places stay right
                     tree.edit(e["start"], e["stop"], e["new"] or "")
-                out.append((doc, before, tree.tokens, len(changes or []), len(text or ""), tree.encoded - built))
-            cols = list(zip(*out, strict=True)) or [()] * 6
-            names = ["doc_id", "n_tokens", "n_tokens_after", "n_edits", "n_chars", "chars_reencoded"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
+                out.append((doc, before, tree.tokens, len(changes or []), len(text), tree.encoded - built, *([tree.pack()] if keep else [])))
+            cols = list(zip(*out, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "tree" else pa.int64()) for c, n in zip(cols, names, strict=True)], names)
         trim()
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col), (F.lit(None) if edits is None else edits).cast("array<struct<start: int, stop: int, new: string>>").alias("__edits")).mapInArrow(run, "doc_id long, n_tokens long, n_tokens_after long, n_edits long, n_chars long, chars_reencoded long")
+    names = ["doc_id", "n_tokens", "n_tokens_after", "n_edits", "n_chars", "chars_reencoded", *(["tree"] if keep else [])]
+    source = F.col(tree_col or text_col)
+    changes = (F.lit(None) if edits is None else edits).cast("array<struct<start: int, stop: int, new: string>>")
+    schema = ", ".join(f"{n} {'binary' if n == 'tree' else 'long'}" for n in names)
+    return docs.select(F.col(id_col).cast("long"), source, changes.alias("__edits")).mapInArrow(run, schema)

@@ -45,12 +45,10 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets, capacity - np.array(room, np.int64)
 
 
-def lower_bound(lengths: np.ndarray, capacity: int) -> int:
-    """The most that these dual feasible functions prove: the identity, the threshold family (over capacity - e counts
-    whole, under e counts nothing, for every e up to half) and the rounding family (k in 1..20)."""
-    if not len(lengths):
-        return 0
-    count = np.bincount(lengths, minlength=capacity + 1)
+def bound_of_counts(count: np.ndarray, capacity: int) -> int:
+    """The least number of bins for ``count[n]`` items of each length n, as far as these dual feasible functions prove: the
+    identity, the threshold family (over capacity - e counts whole, under e counts nothing, for every e up to half) and the
+    rounding family (k in 1..20)."""
     x = np.arange(capacity + 1)
     best = -(-int(count @ x) // capacity)
     for e in range(1, capacity // 2 + 1):
@@ -62,6 +60,25 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     return best
 
 
+def lower_bound(lengths: np.ndarray, capacity: int) -> int:
+    """The bound of ``bound_of_counts`` for a partition's lengths."""
+    return bound_of_counts(np.bincount(lengths, minlength=capacity + 1), capacity) if len(lengths) else 0
+
+
+def certificate(packed: DataFrame, capacity: int = 1024) -> DataFrame:
+    """One row that says how good a packing is: n_pieces, n_sequences, lower_bound (sequences that any packing of these
+    pieces needs), gap, fill (tokens a place). Only the number of pieces of each length, at most ``capacity`` rows,
+    reaches the driver."""
+    rows = packed.groupBy("length").count().collect()
+    count = np.zeros(capacity + 1, np.int64)
+    for r in rows:
+        count[r["length"]] = r["count"]
+    used = packed.select("sequence_id").distinct().count()
+    bound = bound_of_counts(count, capacity) if len(rows) else 0
+    fill = float(count @ np.arange(capacity + 1)) / (used * capacity) if used else None
+    return packed.sparkSession.createDataFrame([(int(count.sum()), used, bound, used - bound, fill)], "n_pieces long, n_sequences long, lower_bound long, gap long, fill double")
+
+
 def encode_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece (PIECES): a document's ids and the end id, cut only if longer than the capacity; the first
     piece takes the remainder. Null and empty texts are the end id alone."""

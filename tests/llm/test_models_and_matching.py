@@ -23,7 +23,8 @@ def split(text):
 
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_lm_scores_against_recursion(spark, odd_docs, order):
-    docs = odd_docs.where("doc_id is null or doc_id <> 7").union(spark.createDataFrame([(20, "one line three one line", "x"), (21, "three one two lines", "x")], SCHEMA))
+    """Nulls, repeats, and a text of 30,000 words, which goes through the automaton in segments."""
+    docs = odd_docs.union(spark.createDataFrame([(20, "one line three one line", "x"), (21, "three one two lines", "x")], SCHEMA)).withColumns({"block": F.lit("x"), "shard": F.lit("y"), "score": F.lit(0)})
     got = lm.lm_scores(docs, F.col("doc_id") % 4 == 1, order=order, strength=2.0, block_tokens=7, shard_bytes=40).collect()
     rows = [(r.doc_id, [*split(r.text), "</s>"]) for r in docs.collect()]
     count, total = collections.Counter(), 0
@@ -60,17 +61,37 @@ def test_registered_scoring_counts_trigrams(monkeypatch):
     assert asked["order"] >= 3
 
 
-def test_automaton_states_sum_to_one():
-    hashes = np.arange(1, 6, dtype=np.uint64) << np.uint64(20)
-    grams = lm.Grams(np.array([0, 1, 0, 1, 2, 3]), np.array([4, 2]), hashes, 2)  # words 0..2, end 3, beginning 4
-    counts = [np.array([2, 2, 1, 1, 2]), grams.counts(1, np.ones(6, bool))]
-    a = lm.BackoffAutomaton(grams, counts, 6, 4, 1.5)
-    p1 = 10 ** a.arc[0][:4]
-    assert p1.sum() + 1 / 11 == pytest.approx(1)
-    seen = grams.history[1] == 0
-    known = (10 ** a.arc[1][seen]).sum()
-    rest = 10 ** a.fail[1][seen][0] * (1 - p1[grams.word[1][seen]].sum())
-    assert known + rest == pytest.approx(1)
+def test_automaton_carries_state_and_its_states_sum_to_one(monkeypatch):
+    rng = np.random.default_rng(6)
+    lengths = np.array([40, 1, 300, 7])
+    words = rng.integers(0, 5, lengths.sum())
+    words[np.cumsum(lengths) - 1] = 5  # ends
+    hashes = np.arange(1, 8, dtype=np.uint64) << np.uint64(20)  # words 0..4, the end 5, the beginning 6
+    grams = lm.Grams(words, lengths, hashes, 3)
+    trained = np.repeat(np.array([True, True, True, False]), lengths)
+    counts = [grams.counts(k, trained) for k in range(3)]
+    counts[0][6] = 3
+    total, vocabulary = int(trained.sum()), int((counts[0][:6] > 0).sum())
+    a = lm.BackoffAutomaton(grams, counts, total, vocabulary, 1.5)
+    # every state, with failure, is a distribution over the words and one unseen word
+    for state in range(len(a.fail_to)):
+        seen = np.concatenate([counts[0], counts[1]])[state - 1] if state else 1
+        p = 10 ** a.step(np.full(6, state), np.arange(6))[1]
+        rest = 1 / (total + vocabulary + 1)
+        while state:
+            rest, state = rest * 10 ** a.fail_weight[state], a.fail_to[state]
+        if seen and not (p <= 0).any():
+            assert p.sum() + rest == pytest.approx(1)
+    # one token after the other with the state carried, and the same in segments
+    want = []
+    for begin, n in zip(np.cumsum(lengths) - lengths, lengths, strict=True):
+        state = np.array([a.begin])
+        for w in words[begin : begin + n]:
+            state, added = a.step(state, np.array([w]))
+            want.append(added[0])
+    for segment in (3, 50, 1000):
+        monkeypatch.setattr(lm, "SEGMENT", segment)
+        assert a.traverse(words, lengths) == pytest.approx(np.array(want))
 
 
 def test_decontamination_tolerates_substitutions(spark):
@@ -83,8 +104,8 @@ def test_decontamination_tolerates_substitutions(spark):
     far = [w if i % 3 else "other" for i, w in enumerate(items[2])]
     docs = [(1, " ".join(prose(30) + items[0] + prose(9))), (2, " ".join(prose(5) + changed).upper() + "!"), (3, " ".join(prose(50))), (4, " ".join(far)), (5, ", ".join(items[0][3:15])), (6, "short item"), (7, None), (8, ""), (1, "again " + " ".join(items[2])), (None, " ".join(items[0]))]
     df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)] + [(None, " ".join(docs[2][1].split()))], "item_id long, text string")
-    got = {r.doc_id: (r.n_items, r.first_item) for r in decontaminate.contaminated(df, bench).collect()}
-    assert got == {1: (2, 0), 2: (1, 1), 5: (1, 0), None: (1, 0)}
+    got = {r.doc_id: (r.n_items, r.first_item, r.best_words, r.overlap_words) for r in decontaminate.contaminated(df, bench).collect()}
+    assert got == {1: (2, 0, 12, 20), 2: (1, 1, 12, 20), 5: (1, 0, 12, 12), None: (1, 0, 12, 20)}
     left = decontaminate.decontaminate(df.withColumn("seed", F.lit(1)), bench)
     assert sorted(r.doc_id for r in left.collect()) == [3, 4, 6, 7, 8] and left.columns == ["doc_id", "text", "seed"]
     assert decontaminate.contaminated(df, bench.limit(0)).collect() == [] and decontaminate.contaminated(df.limit(0), bench).collect() == []
@@ -109,6 +130,17 @@ def test_decontamination_finds_every_placement_of_two_substitutions(spark):
         decontaminate.contaminated(df, bench, allowed=3)
 
 
+def test_decontamination_finds_short_items_whole_and_long_texts(spark):
+    words = lambda a, n: [f"w{a}x{i}" for i in range(n)]
+    items = [(0, words(0, 8)), (1, words(1, 11)), (2, words(2, 7)), (3, words(3, 12))]
+    one_off = words(1, 11)
+    one_off[5] = "other"
+    docs = [(1, words(9, 40) + words(0, 8)), (2, words(1, 11)), (3, one_off + words(8, 30)), (4, words(2, 7) + words(9, 3)), (5, words(7, 60_000) + words(3, 12) + words(6, 50)), (6, words(0, 7) + words(9, 10))]
+    df, bench = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = {r.doc_id: (r.first_item, r.best_words, r.overlap_words) for r in decontaminate.contaminated(df, bench).collect()}
+    assert got == {1: (0, 8, 8), 2: (1, 11, 11), 5: (3, 12, 12)}
+
+
 def test_toxicity_reaches_unseen_spellings(spark):
     rng = random.Random(2)
     clean = ["".join(rng.choice(["an", "er", "th", "ou", "in", "re", "st"]) for _ in range(rng.randint(1, 4))) for _ in range(300)]
@@ -137,17 +169,17 @@ def test_edits_keep_counts_exact(spark):
 
     path = vocabulary_path("byte_bpe_50k.json")
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     count = lambda t: len(plain.encode(t, add_special_tokens=False).ids)
     rng = random.Random(9)
     for r in spark.read.parquet(f"{DATA}/documents.parquet").limit(25).collect():
         text, tree = r.text, editcount.CountTree(r.text, path, 50)
         for _ in range(5):
             a = rng.randint(0, len(text))
-            b, new = min(len(text), a + rng.choice([0, 1, 7, 90])), rng.choice(["", " ", "  ", "x y", "\n", "'s "])
+            b, new = min(len(text), a + rng.choice([0, 1, 7, 90])), rng.choice(["", " ", "  ", "x y", "\n", "'s ", "<|endoftext|>", "<|endof"])
             text = text[:a] + new + text[b:]
             tree.edit(a, b, new)
             assert tree.text == text and tree.tokens == count(text)
+            tree = editcount.CountTree.unpack(tree.pack(), path)
     docs = spark.createDataFrame([(1, "call 5551234 or a@b.org now " * 40), (2, None), (3, ""), (None, "12345")], "doc_id long, text string")
     got = {r.doc_id: r for r in editcount.edited_counts(docs, path, redact=(r"[0-9]{5,}|\S+@\S+", "[masked]")).collect()}
     assert got[1].n_tokens_after == count("call [masked] or [masked] now " * 40) and got[1].n_edits == 80
@@ -155,6 +187,15 @@ def test_edits_keep_counts_exact(spark):
     one = F.expr("array(named_struct('start', 0, 'stop', 4, 'new', 'ring'))")
     few = {r.doc_id: r for r in editcount.edited_counts(docs, path, F.when(F.col("doc_id") == 1, one)).collect()}
     assert few[1].n_tokens_after == count("ring" + docs.first().text[4:]) and few[1].chars_reencoded < few[1].n_chars / 2
+    # a second edit goes on from the kept trees, without the text
+    kept = editcount.edited_counts(docs, path, F.when(F.col("doc_id") == 1, one), keep=True).withColumnRenamed("n_tokens", "text").cache()
+    again = {r.doc_id: r for r in editcount.edited_counts(kept, path, F.when(F.col("doc_id") == 1, F.expr("array(named_struct('start', 5, 'stop', 12, 'new', ''))")), tree_col="tree").collect()}
+    assert again[1].n_tokens == few[1].n_tokens_after and again[1].n_tokens_after == count("ring " + docs.first().text[12:]) and 0 < again[1].chars_reencoded < 800
+    assert again[2].n_tokens_after == 0 and again[None].n_tokens == count("12345") and again[None].chars_reencoded == 0
+    odd = docs.union(docs).withColumn("n_edits", F.lit("clash"))
+    assert len(editcount.edited_counts(odd, path).collect()) == 8 and editcount.edited_counts(odd.limit(0), path).collect() == []
+    long = editcount.edited_counts(spark.createDataFrame([(1, "word, " * 200_000)], "doc_id long, text string"), path, one).first()
+    assert long.n_tokens == count("word, " * 200_000) and long.chars_reencoded < 1000
 
 
 def test_passages(spark):
