@@ -63,3 +63,61 @@ def vector_to_matrices(vector: np.ndarray, shapes: list[tuple[int, int]]) -> lis
         raise ValueError("the shapes need another number of values")
     cuts = np.cumsum([a * b for a, b in shapes])[:-1]
     return [part.reshape(shape, order="F") for part, shape in zip(np.split(np.asarray(vector, float), cuts), shapes, strict=True)]
+
+
+def cov_vector(theta: np.ndarray, q: int, sigma: float = 1.0) -> np.ndarray:
+    """Row-major lower triangle of the relative factor -> that of the covariance matrix."""
+    return theta_to_cov(theta, q, sigma)[np.tril_indices(q)]
+
+
+def theta_vector(cov: np.ndarray, q: int, sigma: float = 1.0) -> np.ndarray:
+    """The inverse; a matrix that is not positive definite is mended first."""
+    return cov_to_theta(lower_to_full(cov, q), sigma)
+
+
+def lower_to_full(vector: np.ndarray, q: int) -> np.ndarray:
+    out = np.zeros((q, q))
+    out[np.tril_indices(q)] = vector
+    return out + np.tril(out, -1).T
+
+
+def sdcor_vector(cov: np.ndarray, q: int) -> np.ndarray:
+    """Lower triangle of a covariance -> standard deviations on the diagonal, correlations below it."""
+    sd, corr = cov2sdcor(lower_to_full(cov, q))
+    return (np.tril(corr, -1) + np.diag(sd))[np.tril_indices(q)]
+
+
+def cov_of_sdcor(vector: np.ndarray, q: int) -> np.ndarray:
+    """The inverse of ``sdcor_vector``."""
+    full = lower_to_full(vector, q)
+    sd = np.diag(full).copy()
+    np.fill_diagonal(full, 1.0)
+    return sdcor2cov(sd, full)[np.tril_indices(q)]
+
+
+def vector_to_triangles(vector: np.ndarray, widths: list[int]) -> list[np.ndarray]:
+    """A parameter vector as lower triangular matrices of the given widths."""
+    sizes = [w * (w + 1) // 2 for w in widths]
+    if sum(sizes) != len(vector):
+        raise ValueError("the widths need another number of values")
+    return [np.tril(lower_to_full(part, w)) for part, w in zip(np.split(np.asarray(vector, float), np.cumsum(sizes)[:-1]), widths, strict=True)]
+
+
+def scale_vcov(vcov: np.ndarray, center: np.ndarray | None = None, scale: np.ndarray | None = None) -> np.ndarray:
+    """The covariance of coefficients (intercept first) after each covariate x became (x - center) / scale."""
+    p = len(vcov)
+    center = np.zeros(p - 1) if center is None else np.asarray(center, float)
+    scale = np.ones(p - 1) if scale is None else np.asarray(scale, float)
+    change = np.diag(np.append(1.0, scale))
+    change[0, 1:] = center
+    return change @ vcov @ change.T
+
+
+def components(theta: np.ndarray, widths: list[int], sigma: float = 1.0, to: str = "sdcor") -> list[dict[str, np.ndarray]]:
+    """Each term's standard deviations and correlations (sdcor), or variances and covariances (varcov)."""
+    out = []
+    for low in vector_to_triangles(theta, widths):
+        cov = sigma**2 * low @ low.T
+        sd, corr = cov2sdcor(cov)
+        out.append({"sd": sd, "corr": corr} if to == "sdcor" else {"variance": np.diag(cov), "cov": cov})
+    return out

@@ -7,20 +7,23 @@ is left is checked against a bound before it is read. Iterations then run in num
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.functions import tails
 from lamina.functions.families import NUMPY, SPARK, Family
 from lamina.functions.families import family as family_of
-from lamina.operators.gram import fixed_names, random_names
-from lamina.operators.lmm import Layout, layout_of
-from lamina.operators.optimise import golden, minimise
+from lamina.operators.control import GeneralisedControl
+from lamina.operators.gram import MAX_CROSSED, fixed_names, random_names
+from lamina.operators.lmm import Layout, _normal_of, layout_of
+from lamina.operators.optimise import golden, run
+from lamina.operators.shared import Fitted, with_hat
 from lamina.plans.formula import Formula
-from lamina.plans.frame import Prepared, prepare
+from lamina.plans.frame import Encoder, Prepared, group_key, prepare
 
 #: Distinct rows that a fit reads to the driver.
 MAX_ROWS = 2_000_000
@@ -114,12 +117,17 @@ def pirls(theta: np.ndarray, rows: Rows, fam: Family, layout: Layout, start: Sta
             new_u = (inner[:, :, p] - inner[:, :, :p] @ new_beta).reshape(-1)
             precision, log_det = [zz], float(np.linalg.slogdet(zz)[1].sum())
         elif total:
-            dense = np.zeros((len(rows.y), total))
-            for t, z in enumerate(scaled):
-                for i in range(widths[t]):
-                    dense[np.arange(len(rows.y)), starts[t] + rows.level[t] * widths[t] + i] = z[:, i]
-            m = dense.T @ (dense * weight[:, None]) + np.eye(total)
-            zx, zy = dense.T @ (rows.x * weight[:, None]), dense.T @ (weight * target)
+            if total > MAX_CROSSED:
+                raise ValueError(f"{total} crossed effects; at most {MAX_CROSSED}")
+            # every row has a few places in the effects: their products are added where they meet
+            columns = [(starts[t] + rows.level[t] * widths[t] + i, z[:, i]) for t, z in enumerate(scaled) for i in range(widths[t])]
+            m, zx, zy = np.eye(total), np.zeros((total, p)), np.zeros(total)
+            for at, z in columns:
+                zy += np.bincount(at, weight * z * target, total)
+                for j in range(p):
+                    zx[:, j] += np.bincount(at, weight * z * rows.x[:, j], total)
+                for other, z2 in columns:
+                    np.add.at(m, (at, other), weight * z * z2)
             inner = np.linalg.solve(m, np.column_stack([zx, zy]))
             a = rows.x.T @ (rows.x * weight[:, None]) - zx.T @ inner[:, :p]
             new_beta = np.linalg.solve(a, rows.x.T @ (weight * target) - zx.T @ inner[:, p])
@@ -164,7 +172,7 @@ def quadrature(theta: np.ndarray, rows: Rows, fam: Family, layout: Layout, state
 
 
 @dataclass
-class GlmerResult:
+class GlmerResult(Fitted):
     formula: Formula
     prep: Prepared
     rows: Rows
@@ -176,6 +184,7 @@ class GlmerResult:
     converged: bool
     points: int
     source: DataFrame = field(repr=False)
+    options: dict = field(default_factory=dict, repr=False)
 
     def fixef(self) -> dict[str, float]:
         return dict(zip(self.prep.x_names, self.state.beta.tolist(), strict=True))
@@ -229,6 +238,119 @@ class GlmerResult:
         unit = self.family.deviance(F.col("y"), F.col("mu"), F.col("w"), SPARK)
         return data.withColumn("pearson", F.col("residual") * F.sqrt(F.col("w") / self.family.variance(F.col("mu"), SPARK))).withColumn("deviance", F.signum("residual") * F.sqrt(F.greatest(unit, F.lit(0.0))))
 
+    def ngrps(self) -> dict[str, int]:
+        return {r.group: len(k) for r, k in zip(self.prep.random, self.rows.keys, strict=True)}
+
+    def components(self) -> dict[str, float]:
+        s = self.state
+        return {"total": self.value, "deviance": s.deviance, "ussq": s.penalty, "ldL2": s.log_det}
+
+    def coef(self, k: int = 0) -> DataFrame:
+        """Each level's coefficients: fixed and random together."""
+        fixed = self.fixef()
+        return self.ranef(k).select("level", *[(F.col(f"`{n}`") + fixed.get(n, 0.0)).alias(n) for n in self.prep.z_names[k]])
+
+    def linear_predictor(self, new: DataFrame, random: bool = True, allow_new_levels: bool = False, offset: str | None = None) -> DataFrame:
+        """``new`` with a column ``eta``. Unseen levels count 0 if allowed and are an error otherwise."""
+        encode = Encoder(new, self.prep.contrasts, dict(self.prep.levels))
+        total, data = F.col(f"`{offset}`").cast("double") if offset else F.lit(0.0), new
+        for (_, c), b in zip(encode.terms(self.formula.fixed), self.state.beta.tolist(), strict=True):
+            total = total + b * c
+        for k, r in enumerate(self.prep.random if random else []):
+            levels = self.source.sparkSession.createDataFrame([(key, list(map(float, u))) for key, u in zip(self.rows.keys[k], self.effects(k), strict=True)], f"__g{k} string, __u{k} array<double>")
+            data = data.withColumn(f"__g{k}", group_key(r)).join(F.broadcast(levels) if len(self.rows.keys[k]) <= 200_000 else levels, f"__g{k}", "left")
+            if not allow_new_levels and data.where(F.col(f"__u{k}").isNull()).limit(1).count():
+                raise ValueError("new levels of a grouping factor; allow_new_levels=True gives them no effect")
+            for i, (_, c) in enumerate(encode.terms(r.terms)):
+                total = total + F.coalesce(F.col(f"__u{k}")[i], F.lit(0.0)) * c
+        return data.withColumn("eta", total).drop(*[f"__{c}{k}" for c in "gu" for k in range(len(self.prep.random))])
+
+    def predict(self, new: DataFrame, kind: str = "response", random: bool = True, allow_new_levels: bool = False, offset: str | None = None) -> DataFrame:
+        """``new`` with a column ``fit``: the mean (response) or the linear predictor (link)."""
+        if kind not in ("response", "link"):
+            raise ValueError(f"unknown prediction {kind!r}")
+        data = self.linear_predictor(new, random, allow_new_levels, offset)
+        return data.withColumn("fit", self.family.mean(F.col("eta"), SPARK) if kind == "response" else F.col("eta")).drop("eta")
+
+    def residuals(self, kind: str = "deviance") -> DataFrame:
+        """augmented() with a column ``resid``: deviance, pearson, response or working."""
+        data = self.augmented()
+        found = {"deviance": F.col("deviance"), "pearson": F.col("pearson"), "response": F.col("residual"), "working": F.col("residual") * self.family.link.slope(F.col("mu"), SPARK)}
+        if kind not in found:
+            raise ValueError(f"unknown residuals {kind!r}; known: {', '.join(found)}")
+        return data.withColumn("resid", found[kind])
+
+    def working_levels(self) -> tuple[list, np.ndarray, np.ndarray] | tuple[None, None, None]:
+        """Of a single term at the estimates: level keys, conditional covariances, and Z'WX under the working weights."""
+        if len(self.prep.random) > 1:
+            raise ValueError("leverages need a single random term")
+        if not self.prep.random:
+            return None, None, None
+        rows, lam = self.rows, self.layout.factors(self.theta)[0]
+        weight, k, p = rows.w * self.family.weight(self.state.mu), lam.shape[0], rows.x.shape[1]
+        zx = np.stack([np.bincount(rows.level[0], weight * rows.z[0][:, i] * rows.x[:, j], len(rows.keys[0])) for i in range(k) for j in range(p)], 1).reshape(-1, k, p)
+        return rows.keys[0], lam @ np.linalg.inv(self.state.precision[0]) @ lam.T, zx
+
+    def leverages(self) -> DataFrame:
+        """augmented() with ``hat`` and ``cooks``, of the working linear model at the estimates (a single term, or none)."""
+        p = self.prep.p
+        data = with_hat(self.augmented(), p, self.state.unscaled_vcov, F.col("w") * self.family.weight(F.col("mu"), SPARK), *self.working_levels())
+        return data.withColumn("cooks", F.col("pearson") ** 2 * F.col("hat") / (p * (1 - F.col("hat")) ** 2)).drop("lean")
+
+    def simulate(self, seed: int = 0, random: bool = True) -> DataFrame:
+        """The prepared frame with ``sim``: a response drawn by the family, given new effects of every level or the fitted ones."""
+        data, eta = self.augmented() if not random else self.prep.data, F.col("eta")
+        if random:
+            eta = F.col("o")
+            for i, b in enumerate(self.state.beta.tolist()):
+                eta = eta + b * F.col(f"x{i}")
+            for k, f in enumerate(self.layout.factors(self.theta)):
+                drawn = [_normal_of(F.col(f"g{k}"), seed, 100 * k + i) for i in range(f.shape[0])]
+                for i, z in enumerate(random_names(self.prep, k)):
+                    eta = eta + sum((float(f[i, j]) * drawn[j] for j in range(i + 1)), F.lit(0.0)) * F.col(z)
+        family = self.family
+
+        @F.pandas_udf("double")
+        def drawn_of(mu: pd.Series, w: pd.Series, number: pd.Series) -> pd.Series:
+            rng = np.random.default_rng([seed, int(number.iloc[0])]) if len(mu) else None
+            if family.name == "binomial":  # a share of w trials
+                trials = np.maximum(1, np.rint(w.to_numpy())).astype(int)
+                return pd.Series(rng.binomial(trials, mu) / trials) if len(mu) else mu
+            return pd.Series(family.simulate(mu.to_numpy(), rng)) if len(mu) else mu
+
+        return data.withColumn("sim", drawn_of(family.mean(eta, SPARK), F.col("w"), F.monotonically_increasing_id()))
+
+    def update(self, formula: str | None = None, data: DataFrame | None = None) -> GlmerResult:
+        from lamina.plans.formula import update
+
+        return glmer(update(self.formula, formula) if formula else self.formula, data if data is not None else self.source, **self.options)
+
+    def refitted(self, formula: Formula, data: DataFrame, **changes) -> GlmerResult:
+        """The model of another formula or data with the same settings."""
+        return glmer(formula, data, **(self.options | changes))
+
+    def refit(self, response: str, data: DataFrame | None = None) -> GlmerResult:
+        """The same model for another response column."""
+        return glmer(replace(self.formula, response=response), data if data is not None else self.source, **self.options)
+
+    def refit_ml(self) -> GlmerResult:
+        """Itself: these models are fitted by maximum likelihood."""
+        return self
+
+    def criterion(self, theta: np.ndarray) -> float:
+        """The deviance at other covariance parameters, fixed effects at their best there."""
+        state = pirls(np.asarray(theta, float), self.rows, self.family, self.layout, self.state)
+        return state.laplace if self.points <= 1 else quadrature(np.asarray(theta, float), self.rows, self.family, self.layout, state, self.points)
+
+    def glance(self) -> DataFrame:
+        row = (type(self).__name__, self.family.name, self.nobs(), int(sum(self.ngrps().values())), len(self.prep.random), self.npar(), self.df_residual(), self.log_lik(), self.deviance(), self.aic(), self.bic(), self.converged, self.is_singular())
+        return self.source.sparkSession.createDataFrame([row], "model string, family string, nobs long, n_groups long, n_grouping_factors int, npar int, df_residual long, log_lik double, deviance double, aic double, bic double, converged boolean, singular boolean")
+
+    def summary(self) -> str:
+        lines = [f"Generalised linear mixed model ({self.family.name}, {self.family.link.name} link)", f"Formula: {self.formula}", f"deviance {self.value:.4f}, {self.nobs()} observations, groups {self.ngrps()}"]
+        lines += [f"  {v['group']}: " + ", ".join(f"{n} sd {s:.5g}" for n, s in zip(v["names"], v["sd"], strict=True)) for v in self.var_corr()]
+        return "\n".join(lines + [f"  {n}: {b:.6g} (se {s:.4g}, z {b / s:.3f})" for (n, b), s in zip(self.fixef().items(), self.std_errors(), strict=True)])
+
     def tidy(self) -> DataFrame:
         rows = []
         for name, b, se in zip(self.prep.x_names, self.state.beta.tolist(), np.sqrt(np.diag(self.vcov())).tolist(), strict=True):
@@ -236,26 +358,44 @@ class GlmerResult:
         return self.source.sparkSession.createDataFrame(rows, "effect string, term string, estimate double, std_error double, statistic double, p_value double")
 
 
-def glmer(formula: str | Formula, data: DataFrame, family: str | Family = "binomial", link: str | None = None, weights: str | None = None, offset: str | None = None, points: int = 1, na_action: str = "omit", contrasts: dict[str, str] | None = None) -> GlmerResult:
+def glmer(formula: str | Formula, data: DataFrame, family: str | Family = "binomial", link: str | None = None, weights: str | None = None, offset: str | None = None, points: int = 1, na_action: str = "omit", contrasts: dict[str, str] | None = None, control: GeneralisedControl | None = None) -> GlmerResult:
     """Fit a GLMM: Laplace (points=1) or adaptive quadrature with so many points a level."""
     fam = family if isinstance(family, Family) else family_of(family, link)
+    options = {"family": fam, "weights": weights, "offset": offset, "points": points, "na_action": na_action, "contrasts": contrasts, "control": control}
     prep = prepare(formula, data, weights, offset, na_action, contrasts, binomial=fam.name == "binomial")
-    rows, layout = collapse(prep), layout_of(prep)
+    return fit_rows(prep.formula, prep, collapse(prep), fam, layout_of(prep), points, data, options)
+
+
+def criterion_of(rows: Rows, fam: Family, layout: Layout, points: int = 1, control: GeneralisedControl | None = None):
+    """The deviance as a function of theta; each evaluation starts from the last one's modes."""
+    control = control or GeneralisedControl()
     last: list[State | None] = [None]
 
     def criterion(theta: np.ndarray) -> float:
         try:
-            state = pirls(theta, rows, fam, layout, last[0])
+            state = pirls(np.asarray(theta, float), rows, fam, layout, last[0], control.inner_iterations, control.tol_pwrss)
         except np.linalg.LinAlgError:
             return 1e10
         last[0] = state
         return state.laplace if points <= 1 else quadrature(theta, rows, fam, layout, state, points)
 
-    best = minimise(criterion, layout.start(), layout.bounds(), limit=800) if sum(layout.sizes) else None
+    return criterion, last
+
+
+def fit_rows(formula: Formula, prep: Prepared, rows: Rows, fam: Family, layout: Layout, points: int, source: DataFrame, options: dict, start: np.ndarray | None = None) -> GlmerResult:
+    """The model of collapsed rows."""
+    control = options.get("control") or GeneralisedControl()
+    criterion, last = criterion_of(rows, fam, layout, points, control)
+    best = run(criterion, layout.start() if start is None else start, layout.bounds(), control.optimizer, **({"limit": 800} | control.settings())) if sum(layout.sizes) else None
     theta = best.x if best else np.zeros(0)
-    state = pirls(theta, rows, fam, layout, last[0])
+    return model_at(formula, prep, rows, fam, layout, theta, points, source, options, last[0], best.converged if best else True)
+
+
+def model_at(formula: Formula, prep: Prepared, rows: Rows, fam: Family, layout: Layout, theta: np.ndarray, points: int, source: DataFrame, options: dict, state: State | None = None, converged: bool = True) -> GlmerResult:
+    """The fitted object at given covariance parameters."""
+    state = pirls(theta, rows, fam, layout, state)
     value = state.laplace if points <= 1 else quadrature(theta, rows, fam, layout, state, points)
-    return GlmerResult(prep.formula, prep, rows, fam, layout, theta, state, value, best.converged if best else True, points, data)
+    return GlmerResult(formula, prep, rows, fam, layout, theta, state, value, converged, points, source, options)
 
 
 def glmer_nb(formula: str, data: DataFrame, low: float = 0.05, high: float = 500.0, **options) -> tuple[GlmerResult, float]:

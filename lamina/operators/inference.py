@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lamina.functions import tails
-from lamina.operators.lmm import LmerResult, lmer
+from lamina.operators.control import Control, GeneralisedControl
+from lamina.operators.lmm import LmerResult, _fit
+from lamina.operators.optimise import available
 from lamina.plans.formula import show
 from lamina.plans.frame import Encoder
 
@@ -34,19 +36,66 @@ def droppable(formula) -> list:
     return [t for t in fixed if not any(set(t) < set(o) for o in fixed)]
 
 
-def drop1(model: LmerResult) -> DataFrame:
-    """Likelihood-ratio tests of every deletable term, on ML fits of the same rows."""
+def drop1(model) -> DataFrame:
+    """Likelihood-ratio tests of every deletable term, on ML fits of the same rows. Linear models reuse the cross-products: a
+    deleted term is deleted rows and columns, so the rows are not read again. Others are fitted anew."""
     full = model.refit_ml()
     rows = [("<none>", full.npar(), full.aic(), None, None)]
-    needed = full.formula.variables
-    same = full.source.dropna(subset=needed)
     for term in droppable(full.formula):
-        reduced = lmer(replace(full.formula, fixed=tuple(t for t in full.formula.fixed if t != term) or ((),)), same, False, **full.options)
+        fixed = tuple(t for t in full.formula.fixed if t != term) or ((),)
+        keep = [i for i, t in enumerate(full.prep.assign) if t != show(term)]
+        # a factor of a model without intercept changes the coding of others: then the design is made anew
+        if isinstance(full, LmerResult) and keep and () in full.formula.fixed:
+            reduced = _without(full, keep, replace(full.formula, fixed=fixed))
+        else:
+            same = full.source.dropna(subset=full.formula.variables)
+            reduced = type(full).refitted(full, replace(full.formula, fixed=fixed), same)
         chi, df = max(0.0, 2 * (full.log_lik() - reduced.log_lik())), full.npar() - reduced.npar()
         rows.append((show(term), reduced.npar(), reduced.aic(), chi, tails.chi2_sf(chi, df)))
     return full.source.sparkSession.createDataFrame(rows, "term string, npar int, aic double, lrt double, p_value double")
 
 
+def _without(model: LmerResult, keep: list[int], formula) -> LmerResult:
+    """The ML fit with only some columns of the fixed part."""
+    g = model.gram
+    part = replace(g, xx=g.xx[np.ix_(keep, keep)], xy=g.xy[keep], zx=[z[:, :, keep] for z in g.zx])
+    prep = replace(model.prep, formula=formula, x_names=[model.prep.x_names[i] for i in keep], columns=[model.prep.columns[i] for i in keep], assign=[model.prep.assign[i] for i in keep])
+    return _fit(formula, prep, part, model.layout, False, model.theta, model.source, model.options)
+
+
+def all_fit(model, methods: list[str] | None = None) -> DataFrame:
+    """The model fitted with every optimiser, from the same cross-products: optimizer, converged, evaluations, deviance, aic, bic,
+    theta, beta, message (of a failure)."""
+    rows = []
+    for method in methods or available():
+        try:
+            if isinstance(model, LmerResult):
+                f = _fit(model.formula, model.prep, model.gram, model.layout, model.reml, None, model.source, model.options, Control(optimizer=method))
+                evaluations = f.iterations
+            else:
+                f, evaluations = type(model).refitted(model, model.formula, model.source, control=GeneralisedControl(optimizer=method)), None
+            rows.append((method, f.converged, evaluations, f.deviance(), f.aic(), f.bic(), list(map(float, f.theta)), list(map(float, f.fixef().values())), None))
+        except (ValueError, np.linalg.LinAlgError) as e:
+            rows.append((method, False, None, None, None, None, None, None, str(e)))
+    return model.source.sparkSession.createDataFrame(rows, "optimizer string, converged boolean, evaluations int, deviance double, aic double, bic double, theta array<double>, beta array<double>, message string")
+
+
+def best_fit(fits: DataFrame, by: str = "deviance"):
+    """The row of all_fit() with the least criterion."""
+    return fits.where(F.col(by).isNotNull()).orderBy(by, "optimizer").first()
+
+
+def is_consistent(fits: DataFrame, tol: float = 1e-3) -> bool:
+    """Whether the deviances of all_fit() lie within ``tol``."""
+    r = fits.agg((F.max("deviance") - F.min("deviance")).alias("d")).first()
+    return r["d"] is not None and r["d"] < tol
+
+
+def evidence_set(ranked: DataFrame, threshold: float = 0.95) -> DataFrame:
+    """The best models of a ranking whose weights together reach the threshold."""
+    return ranked.where(F.col("cumulative") - F.col("weight") < threshold)
+
+
 def linear_hypothesis(model, matrix: np.ndarray, rhs: np.ndarray | float = 0.0, df: float = math.inf) -> dict[str, float]:
     """Wald test of matrix @ beta = rhs: F with the given denominator degrees of freedom, and chi-square."""
     c = np.atleast_2d(np.asarray(matrix, float))

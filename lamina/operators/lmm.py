@@ -11,14 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.functions import tails
+from lamina.operators.control import Control
 from lamina.operators.gram import Gram, gram, random_names
-from lamina.operators.optimise import minimise
+from lamina.operators.optimise import run
+from lamina.operators.shared import BROADCAST_LEVELS, Fitted, quadratic, with_hat
 from lamina.plans.formula import Formula
 from lamina.plans.frame import Encoder, Prepared, group_key, prepare
 
-BROADCAST_LEVELS = 200_000
-
-
 def factor(theta: np.ndarray, width: int, kind: str) -> np.ndarray:
     """The relative covariance factor of one level: a full lower triangle by rows (us), compound symmetry or ar1."""
     if kind == "us":
@@ -155,7 +154,7 @@ def solve(theta: np.ndarray, g: Gram, layout: Layout, reml: bool = True, details
 
 
 @dataclass
-class LmerResult:
+class LmerResult(Fitted):
     """A fitted linear mixed model. Tables of rows or levels are DataFrames; parameters are small arrays."""
 
     formula: Formula
@@ -181,9 +180,6 @@ class LmerResult:
     def vcov(self) -> np.ndarray:
         return self.solved.sigma2 * self.solved.unscaled_vcov
 
-    def std_errors(self) -> np.ndarray:
-        return np.sqrt(np.diag(self.vcov()))
-
     def npar(self) -> int:
         return self.prep.p + len(self.theta) + 1
 
@@ -215,30 +211,7 @@ class LmerResult:
     def covariances(self) -> list[np.ndarray]:
         return [self.solved.sigma2 * f @ f.T for f in self.layout.factors(self.theta)]
 
-    def var_corr(self) -> list[dict]:
-        """One entry a term: group, names, variance, sd, cov, corr."""
-        out = []
-        for r, names, cov in zip(self.prep.random, self.prep.z_names, self.covariances(), strict=True):
-            sd = np.sqrt(np.diag(cov))
-            out.append({"group": r.group, "names": names, "variance": np.diag(cov), "sd": sd, "cov": cov, "corr": cov / np.where(np.outer(sd, sd) > 0, np.outer(sd, sd), 1)})
-        return out
-
-    def re_pca(self) -> list[dict]:
-        out = []
-        for r, f in zip(self.prep.random, self.layout.factors(self.theta), strict=True):
-            values = np.clip(np.linalg.eigvalsh(f @ f.T)[::-1], 0, None)
-            share = values / values.sum() if values.sum() > 0 else np.zeros_like(values)
-            out.append({"group": r.group, "sdev": np.sqrt(values), "proportion": share, "cumulative": np.cumsum(share)})
-        return out
-
-    def is_singular(self, tol: float = 1e-4) -> bool:
-        return any(np.linalg.eigvalsh(f @ f.T).min() < tol * tol for f in self.layout.factors(self.theta))
-
     # tables
-    @property
-    def spark(self):
-        return self.source.sparkSession
-
     def _levels(self, k: int) -> DataFrame:
         table = pd.DataFrame({"key": self.gram.keys[k], "u": self.solved.u[k].tolist(), "v": (self.solved.sigma2 * self.solved.cond_var[k]).reshape(len(self.gram.keys[k]), -1).tolist()})
         return self.spark.createDataFrame(table, "key string, u array<double>, v array<double>")
@@ -275,8 +248,13 @@ class LmerResult:
         data = self._with_effects(self.prep.data).withColumn("fitted", self._mean()).withColumn("fixed", self._mean(False))
         return data.withColumn("residual", F.col("y") - F.col("fitted")).withColumn("pearson", F.sqrt("w") * F.col("residual") / self.sigma)
 
-    def predict(self, new: DataFrame, random: bool = True, allow_new_levels: bool = False, offset: str | None = None) -> DataFrame:
-        """``new`` with a column ``fit``. Unseen levels count 0 if allowed and are an error otherwise."""
+    def predict(self, new: DataFrame, random: bool = True, allow_new_levels: bool = False, offset: str | None = None, interval: str | None = None, level: float = 0.95) -> DataFrame:
+        """``new`` with a column ``fit``. Unseen levels count 0 if allowed and are an error otherwise.
+
+        ``interval`` adds ``se_fit``, ``lower`` and ``upper``: of the mean ("confidence"), or of a new observation
+        ("prediction", with the residual variance and, of unseen levels or without ``random``, that of the effects). With
+        ``random`` it needs a single random term, whose effects' errors and their covariance with the fixed part count.
+        """
         encode = Encoder(new, self.prep.contrasts, dict(self.prep.levels))
         x, data = encode.terms(self.formula.fixed), new
         for name, known in self.prep.levels.items():
@@ -297,36 +275,57 @@ class LmerResult:
                     unseen = unseen | F.col(f"__u{k}").isNull()
                 if data.where(unseen).limit(1).count():
                     raise ValueError("new levels of a grouping factor; allow_new_levels=True gives them no effect")
-        return data.withColumn("fit", total).drop(*[f"__{c}{k}" for c in "gu" for k in range(len(self.prep.random))])
+        data = data.withColumn("fit", total)
+        if interval:
+            data = self._with_interval(data, encode, x, random, interval, level)
+        return data.drop(*[f"__{c}{k}" for c in "gu" for k in range(len(self.prep.random))])
+
+    def _with_interval(self, data: DataFrame, encode: Encoder, x: list, random: bool, interval: str, level: float) -> DataFrame:
+        if interval not in ("confidence", "prediction"):
+            raise ValueError(f"unknown interval {interval!r}")
+        s, lean, extra = self.solved, [c for _, c in x], F.lit(0.0)
+        if random and self.prep.random:
+            if len(self.prep.random) > 1:
+                raise ValueError("intervals with random effects need a single random term")
+            k = len(self.prep.z_names[0])
+            z = [c for _, c in encode.terms(self.prep.random[0].terms)]
+            proj = np.einsum("gij,gjp->gip", s.cond_var[0], self.gram.zx[0])
+            table = pd.DataFrame({"__g0": self.gram.keys[0], "__c": s.cond_var[0].reshape(len(proj), -1).tolist(), "__m": proj.reshape(len(proj), -1).tolist()})
+            levels = self.spark.createDataFrame(table, "__g0 string, __c array<double>, __m array<double>")
+            data = data.join(F.broadcast(levels) if len(table) <= BROADCAST_LEVELS else levels.hint("merge"), "__g0", "left")
+            lean = [c - sum((z[i] * F.coalesce(F.col("__m")[i * len(x) + j], F.lit(0.0)) for i in range(k)), F.lit(0.0)) for j, c in enumerate(lean)]
+            known = sum((z[i] * F.col("__c")[i * k + j] * z[j] for i in range(k) for j in range(k)), F.lit(0.0))
+            fresh = quadratic(z, self.covariances()[0] / s.sigma2) if interval == "prediction" else F.lit(0.0)
+            extra = F.coalesce(known, fresh)
+        elif interval == "prediction":
+            for r, cov in zip(self.prep.random, self.covariances(), strict=True):
+                extra = extra + quadratic([c for _, c in encode.terms(r.terms)], cov / s.sigma2)
+        mean = s.sigma2 * (quadratic(lean, s.unscaled_vcov) + extra)
+        spread = F.sqrt(mean + (s.sigma2 if interval == "prediction" else 0.0))
+        z_value = tails.norm_ppf(0.5 + level / 2)
+        data = data.withColumn("se_fit", F.sqrt(mean)).withColumn("lower", F.col("fit") - z_value * spread)
+        return data.withColumn("upper", F.col("fit") + z_value * spread).drop("__c", "__m")
 
     def leverages(self) -> DataFrame:
-        """augmented() with ``hat`` (a single term, or none) and ``cooks``: a quadratic form in each row's own columns."""
+        """augmented() with ``hat`` (a single term, or none), ``cooks``, ``dffits``, and what deleting the row does to the
+        fixed effects, at the fitted theta: ``dfbeta`` and ``dfbetas`` (arrays). All are forms in each row's own columns."""
         if len(self.prep.random) > 1:
-            raise NotImplementedError("leverages of crossed terms")
+            raise ValueError("leverages need a single random term")
         s, p = self.solved, self.prep.p
-        data = self.augmented()
-        x = [F.col(f"x{i}") for i in range(p)]
-        a = s.unscaled_vcov
-        hat = F.lit(0.0)
-        if self.prep.random:
-            k = len(self.prep.z_names[0])
-            zx = self.gram.zx[0]
-            blocks = s.cond_var[0]
-            proj = np.einsum("gij,gjp->gip", blocks, zx)  # how a level's effects answer to the fixed part
-            table = pd.DataFrame({"g0": self.gram.keys[0], "c": blocks.reshape(len(blocks), -1).tolist(), "m": proj.reshape(len(proj), -1).tolist()})
-            levels = self.spark.createDataFrame(table, "g0 string, c array<double>, m array<double>")
-            data = data.join(F.broadcast(levels) if len(table) <= BROADCAST_LEVELS else levels.hint("merge"), "g0")
-            z = [F.col(f"z0_{i}") for i in range(k)]
-            x = [F.col(f"x{j}") - sum((z[i] * F.col("m")[i * p + j] for i in range(k)), F.lit(0.0)) for j in range(p)]
-            for i in range(k):
-                for j in range(k):
-                    hat = hat + F.col("w") * z[i] * F.col("c")[i * k + j] * z[j]
-        for i in range(p):
-            for j in range(p):
-                hat = hat + F.col("w") * x[i] * float(a[i, j]) * x[j]
-        hat = F.least(hat, F.lit(1 - 1e-10))
-        data = data.withColumn("hat", hat)
-        return data.withColumn("cooks", F.col("w") * F.col("residual") ** 2 / (p * s.sigma2) * F.col("hat") / (1 - F.col("hat")) ** 2).drop("c", "m")
+        levels = (self.gram.keys[0], s.cond_var[0], self.gram.zx[0]) if self.prep.random else (None, None, None)
+        data = with_hat(self.augmented(), p, s.unscaled_vcov, F.col("w"), *levels)
+        left = F.col("w") * F.col("residual") / (1 - F.col("hat"))
+        change = [left * sum((float(s.unscaled_vcov[j, i]) * F.col("lean")[i] for i in range(p)), F.lit(0.0)) for j in range(p)]
+        data = data.withColumn("cooks", F.col("w") * F.col("residual") ** 2 / (p * s.sigma2) * F.col("hat") / (1 - F.col("hat")) ** 2)
+        data = data.withColumn("dffits", F.sqrt(F.col("w") * F.col("hat")) * F.col("residual") / (self.sigma * (1 - F.col("hat"))))
+        return data.withColumn("dfbeta", F.array(*change)).withColumn("dfbetas", F.array(*[c / float(e) for c, e in zip(change, self.std_errors(), strict=True)])).drop("lean")
+
+    def residuals(self, kind: str = "response") -> DataFrame:
+        """augmented() with a column ``resid``: response, pearson (by the square root of the weight and sigma) or working."""
+        found = {"response": F.col("residual"), "working": F.col("residual"), "deviance": F.sqrt("w") * F.col("residual"), "pearson": F.col("pearson")}
+        if kind not in found:
+            raise ValueError(f"unknown residuals {kind!r}; known: {', '.join(found)}")
+        return self.augmented().withColumn("resid", found[kind])
 
     def tidy(self, conf_level: float | None = None) -> DataFrame:
         """One row a fixed effect: effect, term, estimate, std_error, statistic, p_value (normal), and an interval."""
@@ -340,13 +339,25 @@ class LmerResult:
         row = (type(self).__name__, self.nobs(), int(sum(self.ngrps().values())), len(self.prep.random), self.npar(), self.df_residual(), self.sigma, self.log_lik(), self.deviance(), self.aic(), self.bic(), self.reml, self.converged, self.is_singular(), self.iterations)
         return self.spark.createDataFrame([row], "model string, nobs long, n_groups long, n_grouping_factors int, npar int, df_residual long, sigma double, log_lik double, deviance double, aic double, bic double, reml boolean, converged boolean, singular boolean, n_iter int")
 
-    def confint(self, level: float = 0.95) -> dict[str, tuple[float, float]]:
-        z = tails.norm_ppf(0.5 + level / 2)
-        return {n: (b - z * s, b + z * s) for n, b, s in zip(self.prep.x_names, self.solved.beta.tolist(), self.std_errors().tolist(), strict=True)}
-
     def refit_ml(self) -> LmerResult:
         return self if not self.reml else _fit(self.formula, self.prep, self.gram, self.layout, False, self.theta, self.source, self.options)
 
+    def reml_criterion(self) -> float:
+        """The REML criterion at the estimates; an error for a fit by maximum likelihood."""
+        if not self.reml:
+            raise ValueError("a fit by maximum likelihood has no REML criterion")
+        return self.solved.deviance
+
+    def refitted(self, formula: Formula, data: DataFrame, **changes) -> LmerResult:
+        """The model of another formula or data with the same settings."""
+        return lmer(formula, data, self.reml, **(self.options | changes))
+
+    def refit(self, response: str, data: DataFrame | None = None) -> LmerResult:
+        """The same model for another response column."""
+        from dataclasses import replace
+
+        return lmer(replace(self.formula, response=response), data if data is not None else self.source, self.reml, **self.options)
+
     def criterion(self, theta: np.ndarray) -> float:
         found = solve(np.asarray(theta, float), self.gram, self.layout, self.reml, False)
         return math.inf if found is None else found.deviance
@@ -380,13 +391,14 @@ def _normal_of(key, seed: int, salt: int):
     return F.sqrt(-2 * F.log(u[0])) * F.cos(2 * math.pi * u[1])
 
 
-def _fit(formula: Formula, prep: Prepared, g: Gram, layout: Layout, reml: bool, start: np.ndarray | None, source: DataFrame, options: dict) -> LmerResult:
+def _fit(formula: Formula, prep: Prepared, g: Gram, layout: Layout, reml: bool, start: np.ndarray | None, source: DataFrame, options: dict, control: Control | None = None) -> LmerResult:
     def criterion(theta: np.ndarray) -> float:
         found = solve(theta, g, layout, reml, False)
         return 1e10 if found is None else found.deviance
 
     if sum(layout.sizes):
-        best = minimise(criterion, layout.start() if start is None else start, layout.bounds())
+        control = control or options.get("control") or Control()
+        best = run(criterion, layout.start() if start is None else start, layout.bounds(), control.optimizer, **control.settings())
         theta, converged, iterations = best.x, best.converged, best.evaluations
     else:
         theta, converged, iterations = np.zeros(0), True, 0
@@ -400,8 +412,9 @@ def layout_of(prep: Prepared) -> Layout:
     return Layout(tuple(map(len, prep.z_names)), tuple(r.cov_type for r in prep.random))
 
 
-def lmer(formula: str | Formula, data: DataFrame, reml: bool = True, weights: str | None = None, offset: str | None = None, na_action: str = "omit", contrasts: dict[str, str] | None = None, start: np.ndarray | None = None) -> LmerResult:
-    """Fit a linear mixed model: one aggregation over the rows, then driver arithmetic on levels."""
+def lmer(formula: str | Formula, data: DataFrame, reml: bool = True, weights: str | None = None, offset: str | None = None, na_action: str = "omit", contrasts: dict[str, str] | None = None, start: np.ndarray | None = None, control: Control | None = None) -> LmerResult:
+    """Fit a linear mixed model: aggregations over the rows by level, then driver arithmetic on levels."""
     options = {"weights": weights, "offset": offset, "na_action": na_action, "contrasts": contrasts}
     prep = prepare(formula, data, **options)
+    options["control"] = control
     return _fit(prep.formula, prep, gram(prep), layout_of(prep), reml, start, data, options)

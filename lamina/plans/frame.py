@@ -7,9 +7,10 @@ only the variables of the formula are read.
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,29 +59,37 @@ def levels_of(df: DataFrame, name: str) -> list[str]:
 
 
 def level_codes(df: DataFrame, name: str) -> DataFrame:
-    """(level, code) with dense codes from 0 in sorted order: ranks come from a range sort, not from one partition."""
-    levels = df.select(F.col(f"`{name}`").alias("level")).where(F.col("level").isNotNull()).distinct()
-    parts = levels.orderBy("level").withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id())
-    sizes = {r["part"]: r["n"] for r in parts.groupBy("part").agg(F.count("*").alias("n")).collect()}
-    before, total = {}, 0
-    for p in sorted(sizes):
-        before[p], total = total, total + sizes[p]
-    base = F.lit(0).cast("long")
-    for p, n in before.items():
-        base = F.when(F.col("part") == p, F.lit(n).cast("long")).otherwise(base)
-    return parts.select("level", (base + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("code"))
-
-
-def contrast_matrix(kind: str, n: int) -> list[list[float]]:
-    """treatment, sum, helmert or poly contrasts of n levels: a row for each level, n - 1 columns."""
+    """(level, code) with dense codes from 0 in sorted order: ranks within first characters, plus what comes before them."""
+    levels = df.select(F.col(f"`{name}`").cast("string").alias("level")).where(F.col("level").isNotNull()).distinct()
+    # the partition is a function of the level, so counts and ranks agree whenever either is computed again
+    buckets = levels.withColumn("bucket", F.substring("level", 1, 1))
+    sizes = sorted((r["bucket"], r["n"]) for r in buckets.groupBy("bucket").agg(F.count("*").alias("n")).collect())
+    before = dict(zip([b for b, _ in sizes], itertools.accumulate([0, *[n for _, n in sizes]]), strict=False))
+    table = df.sparkSession.createDataFrame([(b, n) for b, n in before.items()] or [("", 0)], "bucket string, base long")
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("level")) - 1
+    return buckets.withColumn("at", rank).join(F.broadcast(table), "bucket").select("level", (F.col("base") + F.col("at")).alias("code"))
+
+
+def contrast_matrix(kind, n: int, base: int = 0) -> list[list[float]]:
+    """treatment, sum (or deviation), helmert (columns of unit length) or poly contrasts of n levels, or a matrix of one's
+    own: a row for each level. ``base`` is the reference level of treatment contrasts. One level is a column of ones."""
     import numpy as np
 
+    if not isinstance(kind, str):
+        own = np.asarray(kind, float)
+        if own.ndim != 2 or own.shape[0] != n:
+            raise ValueError(f"a contrast matrix for {n} levels needs {n} rows")
+        return own.tolist()
+    if n < 2:
+        return [[1.0]] * n
     if kind == "treatment":
-        return np.eye(n)[:, 1:].tolist()
-    if kind == "sum":
+        return np.delete(np.eye(n), base, 1).tolist()
+    if kind in ("sum", "deviation"):
         return np.vstack([np.eye(n - 1), -np.ones(n - 1)]).tolist()
     if kind == "helmert":
-        return [[-1.0 if i <= j else float(j + 1) if i == j + 1 else 0.0 for j in range(n - 1)] for i in range(n)]
+        level, column = np.arange(n)[:, None], np.arange(n - 1)[None, :]
+        raw = np.where(level <= column, -1.0, np.where(level == column + 1, column + 1.0, 0.0))
+        return (raw / np.linalg.norm(raw, axis=0)).tolist()
     if kind == "poly":
         scores = np.arange(n) - (n - 1) / 2
         q, r = np.linalg.qr(np.vander(scores, n, increasing=True))
@@ -88,6 +97,46 @@ def contrast_matrix(kind: str, n: int) -> list[list[float]]:
     raise ValueError(f"unknown contrasts {kind!r}")
 
 
+def dummy(df: DataFrame, name: str, base: int | str | None = None, contrasts: str = "treatment") -> DataFrame:
+    """The rows with the coding columns of one factor, named by level (treatment) or number; ``base`` None keeps all levels'
+    indicators."""
+    known = levels_of(df, name)
+    c = F.col(f"`{name}`")
+    if base is None and contrasts == "treatment":
+        return df.select("*", *[(c == v).cast("double").alias(f"{name}.{v}") for v in known])
+    at = known.index(base) if isinstance(base, str) else int(base or 0)
+    matrix = contrast_matrix(contrasts, len(known), at)
+    labels = [v for i, v in enumerate(known) if i != at] if contrasts == "treatment" else range(1, len(matrix[0]) + 1)
+    return df.select("*", *[coded(c, known, [row[j] for row in matrix]).alias(f"{name}.{label}") for j, label in enumerate(labels)])
+
+
+def coded(c: Column, known: list[str], values: list[float]) -> Column:
+    """The value of each known level; null for others."""
+    out = F.lit(None).cast("double")
+    for level, value in zip(known, values, strict=True):
+        out = F.when(c == level, F.lit(float(value))).otherwise(out)
+    return out
+
+
+def factorize(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Text columns with their sorted levels declared in the column's metadata."""
+    names = columns or [n for n, t in df.dtypes if t == "string"]
+    return _declared(df, names)
+
+
+def _declared(df: DataFrame, names: list[str]) -> DataFrame:
+    for n in names:
+        df = df.withColumn(n, F.col(f"`{n}`").cast("string"))
+        df = df.withMetadata(n, {"levels": levels_of(df, n)})
+    return df
+
+
+def expand_to_original(df: DataFrame, values: DataFrame, key: str, column: str) -> DataFrame:
+    """All rows of ``df`` with ``column`` of the rows that were fitted (``values``, by a unique ``key``), null where a row was
+    left out for a missing value: what the action "exclude" promises."""
+    return df.join(values.select(key, column), key, "left")
+
+
 @dataclass
 class Prepared:
     formula: Formula
@@ -124,13 +173,7 @@ class Encoder:
         if len(known) == 1:
             return [(f.name, F.lit(1.0))]
         matrix = contrast_matrix(self.contrasts.get(f.name, "treatment"), len(known))
-        out = []
-        for j in range(len(known) - 1):
-            value = F.lit(None).cast("double")
-            for v, row in zip(known, matrix, strict=True):
-                value = F.when(c == v, F.lit(float(row[j]))).otherwise(value)
-            out.append((f"{f.name}.{j + 1}", value))
-        return out
+        return [(f"{f.name}.{j + 1}", coded(c, known, [row[j] for row in matrix])) for j in range(len(matrix[0]))]
 
     def terms(self, terms: tuple[Term, ...]) -> list[tuple[str, Column]]:
         out: list[tuple[str, Column]] = []

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,3 +71,72 @@ def penicillin(spark: SparkSession) -> DataFrame:
 def cbpp(spark: SparkSession) -> DataFrame:
     rows = [(str(i // 4 + 1), c, n, str(i % 4 + 1)) for i, (c, n) in enumerate(zip(CASES, HERD_SIZE, strict=True))]
     return spark.createDataFrame(rows, "herd string, incidence int, size int, period string")
+
+
+# Yields of six simulated batches, five samples each, without a batch effect.
+DYESTUFF2 = (
+    7.298, 3.846, 2.434, 9.566, 7.990, 5.220, 6.556, 0.608, 11.788, -0.892, 0.110, 10.386, 13.434, 5.510, 8.166, 2.212, 4.852, 7.092, 9.288, 4.980,
+    0.282, 9.014, 4.458, 8.756, 7.600, 3.070, 11.966, 4.034, 5.734, 9.442,
+)
+
+# Strength of a paste, three tests of two casks (a, b) of each of ten batches (A to J).
+STRENGTH = (
+    62.8, 62.6, 60.1, 62.3, 62.7, 63.1, 60.0, 61.4, 57.5, 56.9, 61.1, 58.9, 62.9, 63.6, 65.4, 66.5, 63.7, 64.0, 60.6, 60.5, 59.2, 59.0, 59.8, 60.3,
+    59.2, 59.0, 60.5, 60.0, 60.1, 59.7, 59.4, 59.8, 61.5, 61.9, 60.3, 59.5, 62.4, 62.8, 64.8, 64.0, 63.0, 62.7, 58.7, 58.1, 59.2, 59.1, 58.5, 59.3,
+    60.4, 60.9, 62.4, 62.6, 60.8, 60.6, 59.4, 60.2, 59.6, 59.4, 58.8, 58.1,
+)
+
+
+def dyestuff2(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("ABCDEF"[i // 5], y) for i, y in enumerate(DYESTUFF2)], "Batch string, Yield double")
+
+
+def pastes(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(y, "ABCDEFGHIJ"[i // 6], "ABCDEFGHIJ"[i // 6] + ":" + "ab"[i // 3 % 2]) for i, y in enumerate(STRENGTH)], "strength double, batch string, cask string")
+
+
+# Generated sets: the columns, levels and sizes of well-known studies with values drawn by a rule (hashes of the row), so that
+# they are the same everywhere and at any size.
+
+def _uniform(salt: int) -> Column:
+    return (F.pmod(F.xxhash64("i", F.lit(salt)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+
+
+def _level(name: str, column: Column, salt: int, spread: float) -> Column:
+    """An effect of a level, uniform over plus and minus ``spread``."""
+    return spread * 2 * ((F.pmod(F.xxhash64(column, F.lit(name), F.lit(salt)), F.lit(1 << 40)) + 0.5) / float(1 << 40) - 0.5)
+
+
+def ratings(spark: SparkSession, rows: int = 73_421) -> DataFrame:
+    """Ratings y (1 to 5) of lecturers d by students s, crossed, with studage, lectage, service and dept."""
+    df = spark.range(rows).withColumnRenamed("id", "i")
+    df = df.select("i", (F.floor(_uniform(1) * 2972) + 1).cast("string").alias("s"), (F.floor(_uniform(2) * 1128) + 1).cast("string").alias("d"), (2 * F.floor(_uniform(3) * 4) + 2).cast("int").alias("studage"), (F.floor(_uniform(4) * 6) + 1).cast("int").alias("lectage"), F.floor(_uniform(5) * 2).cast("string").alias("service"), (F.floor(_uniform(6) * 14) + 1).cast("string").alias("dept"))
+    score = 3.2 + _level("s", F.col("s"), 7, 0.6) + _level("d", F.col("d"), 8, 0.9) - 0.07 * F.col("service").cast("int") + 2.4 * (_uniform(9) - 0.5)
+    return df.withColumn("y", F.least(F.lit(5), F.greatest(F.lit(1), F.round(score).cast("int")))).drop("i")
+
+
+def fruits(spark: SparkSession, rows: int = 625) -> DataFrame:
+    """Counts of fruits of plants: reg, popu in reg, gen in popu, rack, nutrient (1 or 8), amd (clipped or not), status."""
+    df = spark.range(rows).withColumnRenamed("id", "i")
+    df = df.select("i", F.element_at(F.array(*[F.lit(x) for x in ("NL", "SP", "SW")]), (F.col("i") % 3 + 1).cast("int")).alias("reg"), (F.col("i") % 9 + 1).cast("string").alias("popu"), (F.col("i") % 27 + 1).cast("string").alias("gen"), (F.col("i") % 2 + 1).cast("string").alias("rack"), F.when(_uniform(1) < 0.5, 1).otherwise(8).alias("nutrient"), F.when(_uniform(2) < 0.5, "clipped").otherwise("unclipped").alias("amd"), F.when(_uniform(3) < 0.4, "Normal").when(_uniform(3) < 0.7, "Petri.Plate").otherwise("Transplant").alias("status"))
+    mean = F.exp(2.2 + 0.12 * F.col("nutrient") - 0.3 * (F.col("amd") == "clipped").cast("int") + _level("gen", F.col("gen"), 4, 0.8))
+    return df.withColumn("total_fruits", F.floor(-F.log(_uniform(5)) * mean).cast("int")).drop("i")
+
+
+def ticks(spark: SparkSession, rows: int = 403) -> DataFrame:
+    """Ticks on chicks: INDEX, BROOD in LOCATION, HEIGHT, YEAR (95 to 97) and the count TICKS."""
+    df = spark.range(rows).withColumnRenamed("id", "i")
+    df = df.select("i", (F.col("i") + 1).cast("string").alias("INDEX"), (F.col("i") % 118 + 501).cast("string").alias("BROOD"), (F.col("i") % 118 % 63 + 1).cast("string").alias("LOCATION"))
+    df = df.withColumn("YEAR", (95 + F.pmod(F.xxhash64("BROOD"), F.lit(3))).cast("string")).withColumn("HEIGHT", 403 + F.pmod(F.xxhash64("LOCATION"), F.lit(131)).cast("double"))
+    mean = F.exp(1.2 - 0.02 * (F.col("HEIGHT") - 462) + 1.1 * (F.col("YEAR") == "96").cast("int") + _level("b", F.col("BROOD"), 3, 1.2))
+    return df.withColumn("TICKS", F.floor(-F.log(_uniform(4)) * mean).cast("int")).drop("i")
+
+
+def aggression(spark: SparkSession, people: int = 316) -> DataFrame:
+    """Answers of people to 24 items: id, item, Anger, Gender, btype, situ, mode, resp (no, perhaps, yes) and r2 (N, Y)."""
+    df = spark.range(people * 24).withColumnRenamed("id", "i")
+    number, item = F.floor(F.col("i") / 24), F.col("i") % 24
+    pick = lambda names, at: F.element_at(F.array(*[F.lit(x) for x in names]), (at + 1).cast("int"))
+    df = df.select("i", (number + 1).cast("string").alias("id"), F.concat(F.lit("item"), item + 1).alias("item"), (11 + F.pmod(F.xxhash64(number, F.lit("anger")), F.lit(29))).cast("int").alias("Anger"), F.when(F.pmod(F.xxhash64(number), F.lit(4)) == 0, "M").otherwise("F").alias("Gender"), pick(("curse", "scold", "shout"), item % 3).alias("btype"), pick(("other", "self"), F.floor(item / 12)).alias("situ"), pick(("want", "do"), F.floor(item / 6) % 2).alias("mode"))
+    score = -1.2 + 0.06 * F.col("Anger") + 1.0 * (F.col("btype") == "curse").cast("int") - 1.0 * (F.col("situ") == "self").cast("int") + _level("id", F.col("id"), 2, 1.5) + F.log(_uniform(3) / (1 - _uniform(3)))
+    return df.withColumn("resp", F.when(score < 0, "no").when(score < 1.2, "perhaps").otherwise("yes")).withColumn("r2", F.when(F.col("resp") == "no", "N").otherwise("Y")).drop("i")
