@@ -9,7 +9,7 @@ import math
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -33,11 +33,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def save(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage, and outlives any executor."""
-    spark = df.sparkSession
+    """Write df as Parquet in the shared folder and read it back: cuts lineage, and outlives any executor. The rows are
+    counted on the way."""
+    spark, seen = df.sparkSession, Observation()
     path = f"{shared_dir(spark)}/lamina-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.option("compression", compression).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_rows = seen.get.get("rows")
+    return out
+
+
+def rows_of(table: DataFrame) -> int | None:
+    """The rows of a table as ``save`` returned it; None for any other."""
+    return table.__dict__.get("saved_rows")
+
+
+def empty(table: DataFrame) -> bool:
+    n = rows_of(table)
+    return not table.head(1) if n is None else n == 0
 
 
 def discard(table: DataFrame) -> None:
@@ -57,7 +70,8 @@ def small_batches(spark: SparkSession) -> None:
 
 def fits(table: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether a saved table has at most so many rows; reads no more than needed to tell."""
-    return table.limit(rows + 1).count() <= rows
+    n = rows_of(table)
+    return n <= rows if n is not None else table.limit(rows + 1).count() <= rows
 
 
 def checked(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -73,6 +87,8 @@ def salted_join(rows: DataFrame, table: DataFrame, on: list[str], by: str, count
         return rows.join(F.broadcast(table), on)
     counts = rows.groupBy(*on).agg(F.count("*").alias("size")) if counts is None else counts
     hot = save(counts.where(F.col("size") > each).select(*on, F.ceil(F.col("size") / each).alias("__copies")), "hot")
+    if empty(hot):
+        return rows.join(table.hint("merge"), on)
     copies = F.coalesce("__copies", F.lit(1).cast("long"))
     dealt = rows.join(checked(hot), on, "left").withColumn("__copy", F.pmod(F.xxhash64(by), copies)).drop("__copies")
     copied = table.join(checked(hot), on, "left").withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1))).drop("__copies")

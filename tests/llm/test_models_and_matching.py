@@ -25,7 +25,7 @@ def split(text):
 def test_lm_scores_against_recursion(spark, odd_docs, order):
     """Nulls, repeats, and a text of 30,000 words, which goes through the automaton in segments."""
     docs = odd_docs.union(spark.createDataFrame([(20, "one line three one line", "x"), (21, "three one two lines", "x")], SCHEMA)).withColumns({"block": F.lit("x"), "shard": F.lit("y"), "score": F.lit(0)})
-    got = lm.lm_scores(docs, F.col("doc_id") % 4 == 1, order=order, strength=2.0, block_tokens=7, shard_bytes=40).collect()
+    got = lm.lm_scores(docs, F.col("doc_id") % 4 == 1, order=order, strength=2.0, block_tokens=7, shard_bytes=4000).collect()
     rows = [(r.doc_id, [*split(r.text), "</s>"]) for r in docs.collect()]
     count, total = collections.Counter(), 0
     for i, w in rows:
