@@ -27,8 +27,6 @@ from lamina.llm.common import parts_for, save, small_batches, trim
 BLOCK_TOKENS, SHARD_BYTES = 1_500_000, 24 << 20
 #: Tokens that a lane of the traversal scores.
 SEGMENT = 192
-#: Bytes of text for a partition of the exchanges.
-PARTITION_BYTES = 24 << 20
 END, BEGIN = b" ", b"  "  # no word holds a space
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
 
@@ -36,7 +34,7 @@ _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
 def _zip(x: np.ndarray) -> bytes:
     """An array's bytes, plane by plane, compressed."""
     head = np.array([x.dtype.itemsize], "u1").tobytes()
-    return head + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view("u1").reshape(-1, x.dtype.itemsize).T).tobytes())
+    return head + zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(x.view("u1").reshape(-1, x.dtype.itemsize).T).tobytes())
 
 
 def _unzip(data: bytes, kind: str) -> np.ndarray:
@@ -294,12 +292,14 @@ def lm_scores(docs: DataFrame, held_out: Column, order: int = 3, strength: float
     """
     small_batches(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    shards, parts = parts_for(size, shard_bytes), parts_for(size, PARTITION_BYTES)
+    shards = parts_for(size, shard_bytes)
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col), F.coalesce(held_out, F.lit(False)))
     known = save(rows.mapInArrow(_pack(block_tokens), "block long, n long, payload binary"), "blocks", "uncompressed")
     asked = known.select("block", "payload").mapInArrow(_ask(order, shards), "shard long, block long, payload binary, counts binary")
-    answered = asked.repartition(parts, "shard").groupBy("shard").applyInPandas(lambda r: _answer(r, shards), "block long, shard long, counts binary, words long")
+    # twice as many partitions as groups, so that few groups meet by chance
+    answered = asked.repartition(2 * order * shards, "shard").groupBy("shard").applyInPandas(lambda r: _answer(r, shards), "block long, shard long, counts binary, words long")
     answers = save(answered, "answers", "uncompressed")
     total = known.agg(F.sum("n")).first()[0] or 0
     vocabulary = answers.agg(F.sum("words")).first()[0] or 0
+    parts = 2 * max(1, known.count())
     return known.repartition(parts, "block").groupBy("block").cogroup(answers.repartition(parts, "block").groupBy("block")).applyInPandas(lambda d, a: _score(d, a, order, shards, total, vocabulary, strength), SCORED)
