@@ -28,7 +28,7 @@ from lamina.llm.common import checked, parts_for, save, shared_dir, small_batche
 
 MAGIC = b"RPG2"
 #: Ids of a shard; how often a pair must occur in it to be replaced; how far below the most frequent pair one pass goes.
-SHARD_TOKENS, LEAST, STEP = 2_000_000, 16, 4
+SHARD_TOKENS, LEAST, STEP = 2_000_000, 16, 16
 #: Chunks that encoding remembers, about 250 MB.
 REMEMBERED = 1_400_000
 #: Bytes of text for a partition of the range partitioning.
