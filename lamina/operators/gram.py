@@ -1,7 +1,7 @@
 """Weighted cross-products: the one aggregation over rows that linear mixed models need.
 
-``gram`` groups by a random term's level and sums products of columns, with map-side partial sums; each further term and
-each pair of terms is one more aggregation. Everything after it works on levels, not rows.
+``gram`` groups by a random term's level and sums products of columns, with map-side partial sums, the totals among them;
+each further term and each pair of terms is one more aggregation. Everything after it works on levels, not rows.
 """
 
 from __future__ import annotations
@@ -46,30 +46,41 @@ def random_names(prep: Prepared, k: int) -> list[str]:
     return [f"z{k}_{i}" for i in range(len(prep.z_names[k]))]
 
 
-def level_table(prep: Prepared, k: int) -> DataFrame:
-    """One row a level: key, n, and arrays of sums zz, zx, zy (row by row)."""
+def _total_columns(prep: Prepared) -> list[Column]:
+    x = fixed_names(prep)
+    return [F.count("*").alias("n"), F.sum(F.log("w")).alias("log_w"), F.array(*_products(x, x)).alias("xx"), F.array(*_products(x, ["y"])).alias("xy"), F.sum(F.col("w") * F.col("y") * F.col("y")).alias("yy")]
+
+
+def level_table(prep: Prepared, k: int, whole: bool = False) -> DataFrame:
+    """One row a level: key, n, and arrays of sums zz, zx, zy (row by row); with ``whole`` also log_w, xx, xy and yy."""
     x, z = fixed_names(prep), random_names(prep, k)
+    first = _total_columns(prep) if whole else [F.count("*").alias("n")]
     return prep.data.withColumn("y", F.col("y") - F.col("o")).groupBy(F.col(f"g{k}").alias("key")).agg(
-        F.count("*").alias("n"), F.array(*_products(z, z)).alias("zz"), F.array(*_products(z, x)).alias("zx"), F.array(*_products(z, ["y"])).alias("zy"))
+        *first, F.array(*_products(z, z)).alias("zz"), F.array(*_products(z, x)).alias("zx"), F.array(*_products(z, ["y"])).alias("zy"))
 
 
 def totals(prep: Prepared) -> tuple[int, float, np.ndarray, np.ndarray, float]:
-    x, p = fixed_names(prep), prep.p
-    row = prep.data.withColumn("y", F.col("y") - F.col("o")).agg(
-        F.count("*").alias("n"), F.sum(F.log("w")).alias("log_w"), F.array(*_products(x, x)).alias("xx"), F.array(*_products(x, ["y"])).alias("xy"), F.sum(F.col("w") * F.col("y") * F.col("y")).alias("yy")).first()
+    p = prep.p
+    row = prep.data.withColumn("y", F.col("y") - F.col("o")).agg(*_total_columns(prep)).first()
     if not row["n"]:
         raise ValueError("no complete rows")
     return row["n"], float(row["log_w"]), np.array(row["xx"]).reshape(p, p), np.array(row["xy"]), float(row["yy"])
 
 
 def gram(prep: Prepared) -> Gram:
-    """All cross-products of a prepared frame, with the levels in sorted order."""
-    out = Gram(*totals(prep))
+    """All cross-products of a prepared frame, with the levels in sorted order. The first term's level sums add up to the
+    totals, so a model with one term reads its rows once."""
+    out = None if prep.random else Gram(*totals(prep))
     for k in range(len(prep.random)):
-        width, table = len(prep.z_names[k]), level_table(prep, k)
+        width, table = len(prep.z_names[k]), level_table(prep, k, out is None)
         rows = table.limit(MAX_LEVELS + 1).toPandas().sort_values("key")
         if len(rows) > MAX_LEVELS:
             raise ValueError(f"{prep.random[k].group} has more than {MAX_LEVELS} levels; use operators.large.lmer_large")
+        if out is None:
+            if not len(rows):
+                raise ValueError("no complete rows")
+            sums = {c: np.array(rows[c].to_list()).sum(0) for c in ("n", "log_w", "xx", "xy", "yy")}
+            out = Gram(int(sums["n"]), float(sums["log_w"]), sums["xx"].reshape(prep.p, prep.p), sums["xy"], float(sums["yy"]))
         out.keys.append(rows["key"].tolist())
         out.zz.append(np.array(rows["zz"].to_list()).reshape(-1, width, width))
         out.zx.append(np.array(rows["zx"].to_list()).reshape(-1, width, prep.p))
