@@ -269,6 +269,30 @@ def test_near_duplicates_against_brute_force(spark):
     assert neardup.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_near_duplicates_at_the_threshold_in_crowded_neighbourhoods(spark):
+    """Sets of 80 to 400 shingles, many variants of each near a similarity of 0.8, and pairs of their own: what is linked, and
+    the components, are those of all pairs."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts = []
+    for n in (80, 130, 200, 400):
+        base = [word() for _ in range(n)]
+        for _ in range(25):
+            made = base[:]
+            for at in rng.sample(range(n), round(n * rng.choice([0.03, 0.05, 0.055, 0.06]))):
+                made[at] = word()
+            texts.append(" ".join(made))
+        for _ in range(6):  # two variants each, near the threshold
+            one = [word() for _ in range(n)]
+            two = one[: n - n // 10 + rng.randrange(-1, 2)] + [word() for _ in range(n // 10)]
+            texts += [" ".join(one), " ".join(two)]
+    rng.shuffle(texts)
+    texts += [" ".join(word() for _ in range(60_000))] * 2  # very long
+    rows = list(enumerate(texts))
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").withColumn("cls", F.lit("x")), shingle=2).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute_components(rows, 2))
+
+
 def test_components_of_chains(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in components(links).collect()}
