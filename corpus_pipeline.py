@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lamina.llm import decontaminate, linededup, neardup, packing, toxicity
 from lamina.llm.bpe import vocabulary_path
-from lamina.llm.common import checked, row_key, save
+from lamina.llm.common import checked, empty, row_key, save
 
 TOXIC_FROM = 0.7
 
@@ -41,7 +41,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     gone = save(members.join(chosen.select("__k"), "__k", "left_anti").select("__k"), "gone")
     left = keyed.join(checked(gone), "__k", "left_anti")
     again = save(found.groupBy("__k").agg(F.count("*").alias("n")).where("n > 1").select("__k"), "again")
-    if not again.head(1):
+    if empty(again):
         return left.select(*docs.columns)
     first = left.join(checked(again), "__k").groupBy("__k").agg(F.min(F.struct("text", "doc_id", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("r"))
     return left.join(checked(again), "__k", "left_anti").select(*docs.columns).unionByName(first.select("r.*"))
