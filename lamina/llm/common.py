@@ -79,11 +79,11 @@ def checked(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(table) if fits(table, rows) else table.hint("merge")
 
 
-def salted_join(rows: DataFrame, table: DataFrame, on: list[str], by: str, counts: DataFrame | None = None, each: int = 2_000) -> DataFrame:
+def salted_join(rows: DataFrame, table: DataFrame, on: list[str], by: str, counts: DataFrame | None = None, each: int = 2_000, narrow: bool = True) -> DataFrame:
     """Rows joined with a table whose keys ``on`` are unique, with hot keys dealt out: a key of many rows (as ``counts``,
     with a column size, tells) has a copy of its table row for every ``each`` rows, and rows go to a copy by a hash of
-    ``by``. So no key of any share of the rows meets in one task. Small tables are broadcast, after counting them."""
-    if fits(table, 20_000):
+    ``by``. So no key of any share of the rows meets in one task. Small tables of ``narrow`` rows are broadcast, after counting them."""
+    if narrow and fits(table, 20_000):
         return rows.join(F.broadcast(table), on)
     counts = rows.groupBy(*on).agg(F.count("*").alias("size")) if counts is None else counts
     hot = save(counts.where(F.col("size") > each).select(*on, F.ceil(F.col("size") / each).alias("__copies")), "hot")
