@@ -73,9 +73,10 @@ def test_automaton_carries_state_and_its_states_sum_to_one(monkeypatch):
     counts[0][6] = 3
     total, vocabulary = int(trained.sum()), int((counts[0][:6] > 0).sum())
     a = lm.BackoffAutomaton(grams, counts, total, vocabulary, 1.5)
-    # every state, with failure, is a distribution over the words and one unseen word
+    # every state that training goes on from, with failure, is a distribution over the words and one unseen word
+    last = np.concatenate([[0], np.arange(7), grams.word[1]])
     for state in range(len(a.fail_to)):
-        seen = np.concatenate([counts[0], counts[1]])[state - 1] if state else 1
+        seen = np.concatenate([counts[0], counts[1]])[state - 1] * (last[state] != 5) if state else 1
         p = 10 ** a.step(np.full(6, state), np.arange(6))[1]
         rest = 1 / (total + vocabulary + 1)
         while state:
