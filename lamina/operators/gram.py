@@ -16,7 +16,7 @@ from lamina.plans.frame import Prepared
 
 #: Levels of a random term that are read to the driver; a single term beyond this is evaluated on the cluster.
 MAX_LEVELS = 1_000_000
-#: Random effects that crossed terms may have together, as their precision is one dense matrix.
+#: Random effects that crossed terms may have beside the largest term, as what its elimination leaves is one dense matrix.
 MAX_CROSSED = 6000
 
 
@@ -33,6 +33,10 @@ class Gram:
     zy: list[np.ndarray] = field(default_factory=list)  # levels x k
     cross: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
 
+    def largest(self) -> int:
+        """The term with the most effects."""
+        return max(range(len(self.zz)), key=lambda t: self.zz[t].shape[0] * self.zz[t].shape[1])
+
 
 def _products(left: list[str], right: list[str], weight: str = "w") -> list[Column]:
     return [F.sum(F.col(weight) * F.col(a) * F.col(b)) for a in left for b in right]
@@ -86,8 +90,8 @@ def gram(prep: Prepared) -> Gram:
         out.zx.append(np.array(rows["zx"].to_list()).reshape(-1, width, prep.p))
         out.zy.append(np.array(rows["zy"].to_list()).reshape(-1, width))
     if len(out.keys) > 1:
-        if sum(z.shape[0] * z.shape[1] for z in out.zz) > MAX_CROSSED:
-            raise ValueError(f"crossed terms with more than {MAX_CROSSED} effects in all need a sparse solver")
+        if sum(z.shape[0] * z.shape[1] for t, z in enumerate(out.zz) if t != out.largest()) > MAX_CROSSED:
+            raise ValueError(f"crossed terms with more than {MAX_CROSSED} effects beside the largest term need a sparse solver")
         places = [{key: i for i, key in enumerate(keys)} for keys in out.keys]
         for a in range(len(out.keys)):
             for b in range(a + 1, len(out.keys)):

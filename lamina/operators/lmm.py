@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -18,6 +19,10 @@ from lamina.operators.shared import BROADCAST_LEVELS, Fitted, quadratic, with_ha
 from lamina.plans.formula import Formula
 from lamina.plans.frame import Encoder, Prepared, group_key, prepare
 
+#: Cells of the rows of a crossed system that are made at once, 32 MB.
+ROW_CELLS = 1 << 22
+
+
 def factor(theta: np.ndarray, width: int, kind: str) -> np.ndarray:
     """The relative covariance factor of one level: a full lower triangle by rows (us), compound symmetry or ar1."""
     if kind == "us":
@@ -80,10 +85,98 @@ class Solved:
     ussq: float = 0.0
 
 
+class Crossed:
+    """The system of crossed terms, [[A, B], [B', C]]: A of the term with the most effects, a small block a level, is
+    eliminated, and the Schur complement C - B' inv(A) B of all other effects is factored whole. Rows of B are made a
+    bounded number of levels at a time, over the other effects that these levels meet."""
+
+    def __init__(self, g: Gram, factors: list[np.ndarray]) -> None:
+        self.g, self.factors, p = g, factors, len(g.xy)
+        sizes = [z.shape[0] * z.shape[1] for z in g.zz]
+        self.first = first = g.largest()
+        self.rest = [t for t in range(len(sizes)) if t != first]
+        self.starts = dict(zip(self.rest, np.cumsum([0, *[sizes[t] for t in self.rest]]), strict=False))
+        self.total, self.k = sum(sizes[t] for t in self.rest), factors[first].shape[0]
+        right = [np.concatenate([lam.T @ g.zx[t], (g.zy[t] @ lam)[:, :, None]], 2) for t, lam in enumerate(factors)]
+        lam = factors[first]
+        self.chol = np.linalg.cholesky(lam.T @ g.zz[first] @ lam + np.eye(self.k))
+        self.own = np.linalg.solve(self.chol, right[first])
+        schur, other = np.zeros((self.total, self.total)), np.zeros((self.total, p + 1))
+        for t in self.rest:
+            lam, s = factors[t], self.starts[t]
+            n, k = g.zz[t].shape[:2]
+            at = s + np.arange(n)[:, None] * k + np.arange(k)
+            schur[at[:, :, None], at[:, None, :]] = lam.T @ g.zz[t] @ lam + np.eye(k)
+            other[s : s + n * k] = right[t].reshape(n * k, p + 1)
+        for (a, b), (i, j, block) in g.cross.items():
+            if first not in (a, b):
+                rows, cols = self._places(a, i)[:, :, None], self._places(b, j)[:, None, :]
+                scaled = factors[a].T @ block @ factors[b]
+                schur[rows, cols] = scaled
+                schur[np.swapaxes(cols, 1, 2), np.swapaxes(rows, 1, 2)] = np.swapaxes(scaled, 1, 2)
+        for at, levels, met in self._rows():
+            flat = levels.reshape(-1, len(at))
+            schur[np.ix_(at, at)] -= flat.T @ flat
+            other[at] -= flat.T @ self.own[met].reshape(-1, p + 1)
+        self.low = np.linalg.cholesky(schur)
+        self.others = np.linalg.solve(self.low, other)
+
+    def _places(self, t: int, levels: np.ndarray) -> np.ndarray:
+        k = self.factors[t].shape[0]
+        return self.starts[t] + levels[:, None] * k + np.arange(k)
+
+    def _rows(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Other effects, inv(chol) B over them, and the levels of the eliminated term, for bounded runs of levels."""
+        f, found = self.first, []
+        for (a, b), (i, j, block) in self.g.cross.items():
+            if f in (a, b):
+                mine, t, level, block = (i, b, j, block) if a == f else (j, a, i, np.swapaxes(block, 1, 2))
+                order = np.argsort(mine, kind="stable")
+                found.append((t, mine[order], level[order], block[order]))
+        n = len(self.g.keys[f])
+        each = max(1, ROW_CELLS // max(1, self.k * self.total))
+        for begin in range(0, n, each):
+            met, parts = np.arange(begin, min(n, begin + each)), []
+            for t, mine, level, block in found:
+                a, b = np.searchsorted(mine, [begin, begin + each])
+                parts.append((mine[a:b] - begin, self._places(t, level[a:b]), self.factors[f].T @ block[a:b] @ self.factors[t]))
+            at = np.unique(np.concatenate([p[1].reshape(-1) for p in parts]))
+            full = np.zeros((len(met), self.k, len(at)))
+            for mine, places, scaled in parts:
+                full[mine[:, None, None], np.arange(self.k)[None, :, None], np.searchsorted(at, places)[:, None, :]] = scaled
+            yield at, np.linalg.solve(self.chol[met], full), met
+
+    def sums(self) -> tuple[float, np.ndarray, np.ndarray, float]:
+        """log det L^2 and the products of what the fixed effects and the response have in the random effects' space."""
+        log_det = 2 * float(np.log(np.diagonal(self.chol, axis1=1, axis2=2)).sum() + np.log(np.diag(self.low)).sum())
+        own = self.own.reshape(-1, self.own.shape[2])
+        both = own.T @ own + self.others.T @ self.others
+        return log_det, both[:-1, :-1], both[:-1, -1], float(both[-1, -1])
+
+    def effects(self, beta: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Of every term the spherical effects, levels x width, and the diagonal blocks of the system's inverse."""
+        left = np.append(-beta, 1.0)
+        other = np.linalg.solve(self.low.T, self.others @ left)
+        inverse = np.linalg.inv(self.low @ self.low.T)
+        own, blocks = self.own @ left, np.linalg.inv(self.chol)
+        mine = np.swapaxes(blocks, 1, 2) @ blocks
+        for at, levels, met in self._rows():
+            own[met] -= levels @ other[at]
+            back = np.swapaxes(blocks[met], 1, 2) @ levels
+            mine[met] += (back @ inverse[np.ix_(at, at)]) @ np.swapaxes(back, 1, 2)
+        u, var = [np.zeros(0)] * len(self.factors), [np.zeros(0)] * len(self.factors)
+        u[self.first], var[self.first] = np.einsum("gji,gj->gi", blocks, own), mine
+        for t in self.rest:
+            at = self._places(t, np.arange(len(self.g.keys[t])))
+            u[t], var[t] = other[at], inverse[at[:, :, None], at[:, None, :]]
+        return u, var
+
+
 def solve(theta: np.ndarray, g: Gram, layout: Layout, reml: bool = True, details: bool = True) -> Solved | None:
     """The profiled criterion at theta and, with ``details``, everything estimated along with it; None if singular.
 
-    A single term is a batch of small systems, one a level; crossed terms are one dense system over all effects.
+    A single term is a batch of small systems, one a level; of crossed terms the largest is eliminated that way, which
+    leaves one dense system over the effects of the others.
     """
     p, factors = len(g.xy), layout.factors(theta)
     try:
@@ -97,26 +190,8 @@ def solve(theta: np.ndarray, g: Gram, layout: Layout, reml: bool = True, details
             log_det_l = 2 * float(np.log(np.diagonal(chol, axis1=1, axis2=2)).sum())
             rr, rc, cc = np.einsum("gka,gkb->ab", r, r), np.einsum("gka,gk->a", r, c), float((c * c).sum())
         elif factors:
-            sizes = [z.shape[0] * z.shape[1] for z in g.zz]
-            starts, total = np.cumsum([0, *sizes]), sum(sizes)
-            big, zx, zy = np.zeros((total, total)), np.zeros((total, p)), np.zeros(total)
-            for t, lam in enumerate(factors):
-                k, s = lam.shape[0], starts[t]
-                for i, block in enumerate(lam.T @ g.zz[t] @ lam):
-                    big[s + i * k : s + i * k + k, s + i * k : s + i * k + k] = block
-                zx[s : starts[t + 1]] = (lam.T @ g.zx[t]).reshape(-1, p)
-                zy[s : starts[t + 1]] = (g.zy[t] @ lam).reshape(-1)
-            for (a, b), (i, j, block) in g.cross.items():
-                ka, kb = factors[a].shape[0], factors[b].shape[0]
-                scaled = factors[a].T @ block @ factors[b]
-                rows = (starts[a] + i[:, None, None] * ka + np.arange(ka)[None, :, None]) + np.zeros((1, 1, kb), int)
-                cols = (starts[b] + j[:, None, None] * kb + np.arange(kb)[None, None, :]) + np.zeros((1, ka, 1), int)
-                big[rows, cols], big[cols, rows] = scaled, scaled
-            chol = np.linalg.cholesky(big + np.eye(total))
-            rhs = np.linalg.solve(chol, np.column_stack([zx, zy]))
-            r, c = rhs[:, :p], rhs[:, p]
-            log_det_l = 2 * float(np.log(np.diag(chol)).sum())
-            rr, rc, cc = r.T @ r, r.T @ c, float(c @ c)
+            crossed = Crossed(g, factors)
+            log_det_l, rr, rc, cc = crossed.sums()
         else:
             log_det_l, rr, rc, cc = 0.0, np.zeros((p, p)), np.zeros(p), 0.0
         a = g.xx - rr
@@ -140,15 +215,10 @@ def solve(theta: np.ndarray, g: Gram, layout: Layout, reml: bool = True, details
             out.u, out.cond_var = [spherical @ lam.T], [lam @ inverse @ lam.T]
             out.ussq = float((spherical**2).sum())
         else:
-            spherical = np.linalg.solve(chol.T, c - r @ beta)
-            inverse = np.linalg.inv(big + np.eye(total))
-            out.ussq = float(spherical @ spherical)
-            for t, lam in enumerate(factors):
-                k, s = lam.shape[0], starts[t]
-                n = sizes[t] // k
-                out.u.append(spherical[s : starts[t + 1]].reshape(n, k) @ lam.T)
-                blocks = np.stack([inverse[s + i * k : s + i * k + k, s + i * k : s + i * k + k] for i in range(n)])
-                out.cond_var.append(lam @ blocks @ lam.T)
+            spherical, blocks = crossed.effects(beta)
+            out.ussq = float(sum((u**2).sum() for u in spherical))
+            out.u = [u @ lam.T for u, lam in zip(spherical, factors, strict=True)]
+            out.cond_var = [lam @ v @ lam.T for v, lam in zip(blocks, factors, strict=True)]
     out.wrss = pwrss - out.ussq
     return out
 

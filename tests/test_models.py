@@ -159,3 +159,44 @@ def test_levels_on_the_cluster_give_the_same_fit(rows):
         assert large.deviance == pytest.approx(small.deviance(), abs=1e-5) and np.allclose(large.beta, small.solved.beta, atol=1e-4)
         u = {r.level: r.u for r in large.effects.collect()}
         assert all(np.allclose(u[k], v, atol=1e-3) for k, v in zip(small.gram.keys[0], small.solved.u[0], strict=True))
+
+
+def test_crossed_terms_beyond_the_dense_limit(spark, monkeypatch):
+    """The largest crossed term is eliminated level by level, so that only the others count against the limit; criterion,
+    effects and conditional variances are those of the whole dense system."""
+    from lamina.operators import gram, lmm
+
+    monkeypatch.setattr(gram, "MAX_CROSSED", 16)
+    monkeypatch.setattr(lmm, "ROW_CELLS", 40, raising=False)  # several runs of levels
+    rng = np.random.default_rng(8)
+    n = 240
+    a, b, c = rng.integers(0, 30, n), rng.integers(0, 5, n), rng.integers(0, 3, n)
+    x, z = rng.normal(size=n), rng.normal(size=n)
+    y = 1 + x + rng.normal(size=30)[a] + rng.normal(size=5)[b] * (1 + z) + rng.normal(size=n)
+    df = spark.createDataFrame([tuple(map(float, r[:3])) + tuple(map(str, r[3:])) for r in zip(x, z, y, a.tolist(), b.tolist(), c.tolist(), strict=True)], "x double, z double, y double, a string, b string, c string")
+    for order in ("(1 + z | b) + (1 + x | a) + (1 | c)", "(1 + x | a) + (1 | c) + (1 + z | b)"):
+        fit = lmer(f"y ~ x + {order}", df)
+        theta = rng.uniform(0.3, 1.2, len(fit.theta))
+        got = lmm.solve(theta, fit.gram, fit.layout)
+        columns, at = [], []
+        terms = {"a": (a, x), "b": (b, z), "c": (c, None)}
+        for t, (name, lam) in enumerate(zip((r.group for r in fit.prep.random), fit.layout.factors(theta), strict=True)):
+            level, slope = terms[name]
+            for k, key in enumerate(fit.gram.keys[t]):
+                own = (level == int(key)).astype(float)
+                block = np.column_stack([own] if slope is None else [own, own * slope])
+                columns.append(block @ lam)
+                at.append((t, k, lam))
+        u, f = np.concatenate(columns, 1), np.column_stack([np.ones(n), x])
+        v = u @ u.T + np.eye(n)
+        inner = np.linalg.inv(v)
+        beta = np.linalg.solve(f.T @ inner @ f, f.T @ inner @ y)
+        left = y - f @ beta
+        sigma2 = left @ inner @ left / (n - 2)
+        want = (n - 2) * (1 + np.log(2 * np.pi * sigma2)) + np.linalg.slogdet(v)[1] + np.linalg.slogdet(f.T @ inner @ f)[1]
+        assert np.isclose(got.deviance, want, atol=1e-8) and np.allclose(got.beta, beta)
+        spherical, inverse, begin = u.T @ inner @ left, np.linalg.inv(u.T @ u + np.eye(u.shape[1])), 0
+        assert np.isclose(got.ussq, spherical @ spherical)
+        for t, k, lam in at:
+            here = slice(begin, begin := begin + lam.shape[0])
+            assert np.allclose(got.u[t][k], lam @ spherical[here]) and np.allclose(got.cond_var[t][k], lam @ inverse[here, here] @ lam.T)
